@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from listingscope.session import cut
+
 BUCKETS = 64
 
 
@@ -21,17 +23,20 @@ def exact_quantiles(
     """One row per group; each quantile is interpolated between its neighbours."""
     by = list(by)
     keep = [*by, value]
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keep).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(*keep).agg(F.count(F.lit(1)).alias("_n")))
     cuts = [i / buckets for i in range(1, buckets)]
-    bounds = counts.groupBy(*by).agg(
+    # Fixed once: the approximate cuts may differ from run to run, and rows and
+    # bucket sizes must be placed by the same ones.
+    bounds = cut(counts.groupBy(*by).agg(
         F.percentile_approx(value, F.array(*map(F.lit, cuts)), F.lit(10_000)).alias("_cuts"),
         F.sum("_n").alias("_total"),
-    )
+    ))
     if by:
         known = counts.join(bounds, by)
     else:
-        one = bounds.select(F.struct("_cuts", "_total").alias("b"))
-        known = counts.withColumn("_b", one.scalar()).select(*counts.columns, "_b._cuts", "_b._total")
+        one = bounds.first()  # a few dozen numbers
+        fixed = F.array(*map(F.lit, one["_cuts"] or [])).cast("array<double>")
+        known = counts.withColumns({"_cuts": fixed, "_total": F.lit(one["_total"]).cast("bigint")})
     placed = known.withColumn("_bucket", F.size(F.filter("_cuts", lambda b: b < F.col(value)))).drop("_cuts")
     sizes = placed.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_size"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

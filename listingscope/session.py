@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,25 +26,32 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     return spark
 
 
-def prepare_checkpoints(spark: SparkSession) -> None:
-    """Point reliable checkpoints at the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for intermediate tables.
 
     Only a local session may fall back to a folder of its own: on a cluster a
     machine-local folder is lost with its machine.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
     shared = spark.conf.get("spark.checkpoint.dir", "")
     if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
-    else:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    if spark.sparkContext.applicationId not in _LOCAL:
+        _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return _LOCAL[spark.sparkContext.applicationId]
+
+
+_LOCAL: dict[str, str] = {}
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, store it reliably and forget how it was made."""
-    prepare_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once, store it as a table and go on from the stored rows.
+
+    A written table outlives lost executors, brings its size to the planner and
+    starts the next plan afresh, which a loop of joins needs.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
