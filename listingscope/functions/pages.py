@@ -52,12 +52,12 @@ def event_payload(html: Column) -> Column:
     """All embedded events as one struct; for each field the last event that has it."""
     events = F.transform(F.regexp_extract_all(html, F.lit(EVENT_CALL), F.lit(1)), lambda e: F.from_json(e, EVENT))
 
-    def last(get) -> Column:
-        values = F.filter(F.transform(events, get), lambda v: v.isNotNull())
+    def last(name: str) -> Column:
+        values = F.filter(F.transform(events, lambda e: e[name]), lambda v: v.isNotNull())
         return F.try_element_at(values, F.lit(-1))
 
     names = ("catalog_product_id", "seller_id", "seller_name", "price", "free_shipping", "reputation_level", "power_seller_status", "reviews")
-    return F.struct(*[last(lambda e, n=n: e[n]).alias(n) for n in names])
+    return F.struct(*[last(n).alias(n) for n in names])
 
 
 def merged_listing(pages: DataFrame) -> DataFrame:
@@ -139,9 +139,11 @@ def spec_attributes(rows: Column) -> Column:
     """struct of the ten attributes, each from the last row that feeds it."""
     tagged = F.transform(rows, lambda r: F.struct(spec_attribute(r["name"]).alias("k"), r["value"].alias("v")))
     names = ["brand", "model", "model_code"] + [a for a, _ in SPEC_WORDS[2:]]
-    return F.struct(*[
-        F.try_element_at(F.filter(tagged, lambda t, n=n: t["k"] == n), F.lit(-1))["v"].alias(n) for n in names
-    ])
+
+    def last(name: str) -> Column:
+        return F.try_element_at(F.filter(tagged, lambda t: t["k"] == name), F.lit(-1))["v"]
+
+    return F.struct(*[last(n).alias(n) for n in names])
 
 
 # Bar widths assumed by position when all five levels show none.

@@ -138,7 +138,7 @@ def fit(df: DataFrame, features: Sequence[str], label: str, alpha: float = 1.0,
     means, scales = standard_stats(coded, names)
     x = coded.select(*[_standard(F.col(c), m, s).alias(f"x{i}") for i, (c, m, s) in enumerate(zip(names, means, scales))],
                      F.when(F.col(label) == 1, 1.0).otherwise(-1.0).alias("y"))
-    size, spread = x.agg(F.count(F.lit(1)), F.stddev_samp("y")).first()
+    size, spread = x.agg(F.count(F.lit(1)), F.stddev_pop("y")).first()
     assembled = VectorAssembler(inputCols=[f"x{i}" for i in range(len(names))], outputCol="x").transform(x).select("x", "y")
     # The solver divides the label by its deviation, so the penalty is given on that scale.
     solver = LinearRegression(featuresCol="x", labelCol="y", solver="normal", standardization=False,
