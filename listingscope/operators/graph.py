@@ -87,7 +87,7 @@ def alternative_layer(listings: DataFrame, nodes: DataFrame, column: str = "alt_
     ).agg((F.count(F.lit(1)) * ALTERNATIVE_WEIGHT).alias("weight"))
     for end in ("src", "dst"):
         counted = counted.join(nodes.select(F.col("seller_id").alias(end)), end, "left_semi")
-    return counted.withColumn("layer", F.lit(ALTERNATIVE))
+    return counted.select("src", "dst", "weight", F.lit(ALTERNATIVE).alias("layer"))
 
 
 def build(
