@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,19 +34,61 @@ CATALOG, ALTERNATIVE, IMAGE, SIMILARITY = 1, 2, 3, 4
 HUB_SIZE = 1000
 
 
-@dataclass(frozen=True)
+@dataclass
 class SellerGraph:
-    nodes: DataFrame                       # seller_id and its attributes
-    pairs: DataFrame                       # src <= dst, weight, layer, via_hub
-    hubs: DataFrame | None = None          # hub, seller_id, m, weight, layer
-    classes: DataFrame | None = None       # seller_id, class_id
-    class_links: DataFrame | None = None   # class_a, class_b, weight; both directions
+    nodes: DataFrame                 # seller_id and its attributes
+    pairs: DataFrame                 # src <= dst, weight, layer
+    hubs: DataFrame | None = None    # hub, seller_id, m, weight, layer
 
     def links(self) -> DataFrame:
         """Pairs in both directions, a self-loop once."""
-        there = self.pairs.select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight", "via_hub")
-        back = there.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight", "via_hub")
-        return there.unionByName(back)
+        return _both_ways(self.pairs.select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight"))
+
+    # The three tables below serve distinct neighbours only; weighted sums,
+    # ranks and communities never ask for them.
+
+    @cached_property
+    def classes(self) -> DataFrame:
+        """(seller_id, class_id) of hub members.
+
+        A class is named by two independent 64-bit digests of its memberships,
+        so these are never gathered into a list.
+        """
+        digests = self.hubs.groupBy("seller_id").agg(
+            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("hub", "m")).alias("x"),
+            F.bit_xor(F.xxhash64("hub", "m", F.lit(1))).alias("y"))
+        return cut(digests.select("seller_id", F.concat_ws(":", "n", "x", "y").alias("class_id")))
+
+    @cached_property
+    def class_links(self) -> DataFrame:
+        """(class_a, class_b, weight) for classes that share a hub, with a <= b."""
+        speakers = self.classes.groupBy("class_id").agg(F.min("seller_id").alias("seller_id"))
+        seats = cut(self.hubs.join(speakers, "seller_id").select("hub", "class_id", "m", "weight"))
+        a = seats.select("hub", F.col("class_id").alias("class_a"), "weight", F.col("m").alias("_a"))
+        b = seats.select("hub", F.col("class_id").alias("class_b"), F.col("m").alias("_b"))
+        met = a.join(b, "hub").where("class_a <= class_b")
+        return cut(met.groupBy("class_a", "class_b").agg(F.sum(F.col("weight") * F.col("_a") * F.col("_b")).alias("weight")))
+
+    @cached_property
+    def marked_pairs(self) -> DataFrame:
+        """Pairs with ``via_hub`` (the two also share a hub) and the weight of those hubs."""
+        if self.hubs is None:
+            return self.pairs.select("*", F.lit(False).alias("via_hub"), F.lit(0.0).alias("hub_weight"))
+        ends = self.pairs
+        for end in ("src", "dst"):
+            ends = ends.join(self.classes.select(F.col("seller_id").alias(end), F.col("class_id").alias(f"class_{end}")), end, "left")
+        ends = ends.withColumns({"class_a": F.least("class_src", "class_dst"), "class_b": F.greatest("class_src", "class_dst")})
+        known = F.col("class_src").isNotNull() & F.col("class_dst").isNotNull() & (F.col("src") != F.col("dst"))
+        ends = ends.withColumn("class_a", F.when(known, F.col("class_a")))
+        met = ends.join(self.class_links.withColumnRenamed("weight", "hub_weight"), ["class_a", "class_b"], "left")
+        return cut(met.select("src", "dst", "weight", "layer", "class_a", "class_b", F.col("hub_weight").isNotNull().alias("via_hub"),
+                              F.coalesce("hub_weight", F.lit(0.0)).alias("hub_weight")))
+
+
+def _both_ways(there: DataFrame) -> DataFrame:
+    rest = [c for c in there.columns if c not in ("a", "b")]
+    back = there.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), *rest)
+    return there.unionByName(back)
 
 
 # ---------------------------------------------------------------- building
@@ -116,7 +159,7 @@ def build(
     for p in pieces[1:]:
         stacked = stacked.unionByName(p)
     pairs = stacked.groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.min("layer").alias("layer"))
-    return assemble(nodes, pairs, hubs)
+    return SellerGraph(nodes, cut(pairs), hubs)
 
 
 def _expand(small: DataFrame) -> DataFrame:
@@ -127,36 +170,13 @@ def _expand(small: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst", "layer").agg(F.sum(F.col("weight") * F.col("_a") * F.col("_b")).alias("weight"))
 
 
-def assemble(nodes: DataFrame, pairs: DataFrame, hubs: DataFrame | None) -> SellerGraph:
-    if hubs is None:
-        return SellerGraph(nodes, cut(pairs.withColumn("via_hub", F.lit(False))))
-    # A class is named by two independent 64-bit digests of its memberships, so
-    # they are never gathered into a list.
-    item = F.xxhash64("hub", "m")
-    digests = hubs.groupBy("seller_id").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(item).alias("x"), F.bit_xor(F.xxhash64("hub", "m", F.lit(1))).alias("y"))
-    classes = cut(digests.select("seller_id", F.concat_ws(":", "n", "x", "y").alias("class_id")))
-    speakers = classes.groupBy("class_id").agg(F.min("seller_id").alias("seller_id"))
-    seats = cut(hubs.join(speakers, "seller_id").select("hub", "class_id", "m", "weight"))
-    a = seats.select("hub", F.col("class_id").alias("class_a"), "weight", F.col("m").alias("_a"))
-    b = seats.select("hub", F.col("class_id").alias("class_b"), F.col("m").alias("_b"))
-    class_links = cut(a.join(b, "hub").groupBy("class_a", "class_b").agg(F.sum(F.col("weight") * F.col("_a") * F.col("_b")).alias("weight")))
-    ends = pairs
-    for end, name in (("src", "class_a"), ("dst", "class_b")):
-        ends = ends.join(classes.select(F.col("seller_id").alias(end), F.col("class_id").alias(name)), end, "left")
-    marked = ends.join(class_links.select("class_a", "class_b", F.lit(True).alias("_hit")), ["class_a", "class_b"], "left")
-    via = F.coalesce("_hit", F.lit(False)) & (F.col("src") != F.col("dst"))
-    return SellerGraph(
-        nodes, cut(marked.select("src", "dst", "weight", "layer", via.alias("via_hub"))), hubs, classes, class_links)
-
-
 def up_to_layer(g: SellerGraph, layer: int) -> SellerGraph:
     """The unweighted graph of the first layers, for counting the edges they bring."""
     hubs = g.hubs
     if hubs is not None:
         hubs = hubs.where(F.col("layer") <= layer)
         hubs = None if hubs.isEmpty() else hubs
-    return assemble(g.nodes, g.pairs.where(F.col("layer") <= layer).drop("via_hub"), hubs)
+    return SellerGraph(g.nodes, g.pairs.where(F.col("layer") <= layer), hubs)
 
 
 # ---------------------------------------------------------------- sums over neighbours
@@ -166,13 +186,15 @@ def neighbour_sums(g: SellerGraph, values: DataFrame, columns: Sequence[str], by
     by, columns = list(by), list(columns)
     sums = [F.sum(c).alias(c) for c in columns]
     far = values.select(*by, F.col("seller_id").alias("b"), *columns)
-    near = g.links().where("not via_hub").join(far, "b").select(*by, F.col("a").alias("seller_id"), *columns)
+    own_edges = g.marked_pairs.where("not via_hub").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    near = _both_ways(own_edges).join(far, "b").select(*by, F.col("a").alias("seller_id"), *columns)
     if g.hubs is None:
         return near.groupBy(*by, "seller_id").agg(*sums)
     near = near.groupBy(*by, "seller_id").agg(*sums)
     classed = values.select(*by, "seller_id", *columns).join(g.classes, "seller_id")
     per_class = classed.groupBy(*by, F.col("class_id").alias("class_b")).agg(*sums)
-    reach = g.class_links.drop("weight").join(per_class, "class_b").groupBy(*by, F.col("class_a").alias("class_id")).agg(*sums)
+    linked = _both_ways(g.class_links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
+    reach = linked.withColumnsRenamed({"a": "class_a", "b": "class_b"}).join(per_class, "class_b").groupBy(*by, F.col("class_a").alias("class_id")).agg(*sums)
     through = reach.join(g.classes, "class_id").select(*by, "seller_id", *columns)
     own = classed.select(*by, "seller_id", *[(-F.col(c)).alias(c) for c in columns])
     return near.unionByName(through).unionByName(own).groupBy(*by, "seller_id").agg(*sums)
@@ -232,19 +254,12 @@ def weight_range(g: SellerGraph) -> DataFrame:
     """Smallest and largest edge weight, hub edges included but not expanded."""
     if g.hubs is None:
         return g.pairs.agg(F.min("weight").alias("weight_min"), F.max("weight").alias("weight_max"))
-    named = g.pairs
-    for end, name in (("src", "class_a"), ("dst", "class_b")):
-        named = named.join(g.classes.select(F.col("seller_id").alias(end), F.col("class_id").alias(name)), end, "left")
-    shared = g.class_links.select("class_a", "class_b", F.col("weight").alias("_hub"))
-    whole = named.join(shared, ["class_a", "class_b"], "left").withColumn(
-        "weight", F.col("weight") + F.when(F.col("via_hub"), F.coalesce("_hub", F.lit(0.0))).otherwise(0.0))
+    whole = g.marked_pairs.withColumn("weight", F.col("weight") + F.col("hub_weight"))
     # A class link has edges of its own weight only where not every pair of its
     # sellers is also a listed pair.
     sizes = g.classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("_k"))
-    lower, upper = F.least("class_a", "class_b"), F.greatest("class_a", "class_b")
-    listed = whole.where("via_hub").groupBy(lower.alias("class_a"), upper.alias("class_b")).agg(F.count(F.lit(1)).alias("_listed"))
-    once = g.class_links.where("class_a <= class_b")
-    counted = once.join(sizes.select(F.col("class_id").alias("class_a"), F.col("_k").alias("_ka")), "class_a").join(
+    listed = whole.where("via_hub").groupBy("class_a", "class_b").agg(F.count(F.lit(1)).alias("_listed"))
+    counted = g.class_links.join(sizes.select(F.col("class_id").alias("class_a"), F.col("_k").alias("_ka")), "class_a").join(
         sizes.select(F.col("class_id").alias("class_b"), F.col("_k").alias("_kb")), "class_b")
     edges = F.when(F.col("class_a") == F.col("class_b"), F.col("_ka") * (F.col("_ka") - 1) / 2).otherwise(F.col("_ka") * F.col("_kb"))
     free = counted.join(listed, ["class_a", "class_b"], "left").where(edges > F.coalesce("_listed", F.lit(0)))
