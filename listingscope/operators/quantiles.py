@@ -14,16 +14,26 @@ from pyspark.sql import functions as F
 
 from listingscope.session import cut
 
-BUCKETS = 64
+STEP = 64            # buckets found by comparing with this many cuts, twice
+ROWS_PER_BUCKET = 1_000_000
+
+
+def _bucket(cuts: Column, value: Column) -> Column:
+    """How many of the sorted cuts lie below the value: first by blocks, then inside one."""
+    heads = F.transform(F.sequence(F.lit(1), F.ceil(F.size(cuts) / STEP).cast("int")), lambda i: F.get(cuts, (i - 1) * STEP))
+    block = F.greatest(F.size(F.filter(heads, lambda b: b < value)) - 1, F.lit(0))
+    return block * STEP + F.size(F.filter(F.slice(cuts, block * STEP + 1, F.lit(STEP)), lambda b: b < value))
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), buckets: int = BUCKETS
+    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), buckets: int | None = None
 ) -> DataFrame:
     """One row per group; each quantile is interpolated between its neighbours."""
     by = list(by)
     keep = [*by, value]
     counts = cut(df.where(F.col(value).isNotNull()).groupBy(*keep).agg(F.count(F.lit(1)).alias("_n")))
+    if buckets is None:  # 16 to 4096, by how many distinct values there are
+        buckets = max(16, min(STEP * STEP, counts.count() // ROWS_PER_BUCKET))
     cuts = [i / buckets for i in range(1, buckets)]
     # Fixed once: the approximate cuts may differ from run to run, and rows and
     # bucket sizes must be placed by the same ones.
@@ -37,7 +47,7 @@ def exact_quantiles(
         one = bounds.first()  # a few dozen numbers
         fixed = F.array(*map(F.lit, one["_cuts"] or [])).cast("array<double>")
         known = counts.withColumns({"_cuts": fixed, "_total": F.lit(one["_total"]).cast("bigint")})
-    placed = known.withColumn("_bucket", F.size(F.filter("_cuts", lambda b: b < F.col(value)))).drop("_cuts")
+    placed = known.withColumn("_bucket", _bucket(F.col("_cuts"), F.col(value))).drop("_cuts")
     sizes = placed.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_size"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*by, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))

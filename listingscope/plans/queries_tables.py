@@ -35,7 +35,8 @@ def nested_review_listings(t: Tables):
     nested = enrich.nested_reviews(t["part"].select(F.col("p_partkey").alias("product_id")), t.reviews(), "product_id", "product_id",
                                    ["review_no", "text"])
     chars = F.aggregate("all_reviews", F.lit(0).cast("bigint"), lambda s, r: s + F.length(r["text"]))
-    return store.flat_twin(nested.withColumn("chars", chars)).select("product_id", "n_all_reviews", "chars")
+    whole = nested.withColumn("chars", chars).groupBy("product_id").agg(F.sum("chars").alias("chars"))
+    return store.flat_twin(nested).join(whole, "product_id").select("product_id", F.col("n_all_reviews").cast("int").alias("n_all_reviews"), "chars")
 
 
 @query("export_summary", """
@@ -154,14 +155,14 @@ ORDER = "l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extended
 SELECT l_partkey, l_orderkey, l_suppkey, l_quantity FROM (
   SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY {ORDER}) AS n FROM lineitem) WHERE n = 1""")
 def first_per_key(t: Tables):
-    return dedupe.keep_first(t["lineitem"], ["l_partkey"], ORDER.split(", ")).select("l_partkey", "l_orderkey", "l_suppkey", "l_quantity")
+    return dedupe.keep_first(t["lineitem"].select("l_partkey", *ORDER.split(", ")), ["l_partkey"], ORDER.split(", ")).select("l_partkey", "l_orderkey", "l_suppkey", "l_quantity")
 
 
 @query("last_per_key", f"""
 SELECT l_partkey, l_orderkey, l_suppkey, l_quantity FROM (
   SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY {", ".join(c + " DESC" for c in ORDER.split(", "))}) AS n FROM lineitem) WHERE n = 1""")
 def last_per_key(t: Tables):
-    return dedupe.keep_last(t["lineitem"], ["l_partkey"], ORDER.split(", ")).select("l_partkey", "l_orderkey", "l_suppkey", "l_quantity")
+    return dedupe.keep_last(t["lineitem"].select("l_partkey", *ORDER.split(", ")), ["l_partkey"], ORDER.split(", ")).select("l_partkey", "l_orderkey", "l_suppkey", "l_quantity")
 
 
 @query("latest_row", "SELECT event_id, user_id, event_type, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")

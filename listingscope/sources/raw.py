@@ -106,7 +106,7 @@ def file_pairs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def paired_listings(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(listings, reviews) of paired files, reviews keyed by (base, product)."""
     paired, _ = file_pairs(files)
-    kept = files.join(F.broadcast(paired), "base", "left_semi")  # one row per file
+    kept = files.join(paired, "base", "left_semi")
     listings = listing_rows(kept.where("role = 'products'").drop("reviews"), _listing_fields(spark)).where("id is not null and id <> ''")
     reviews = kept.where("role = 'reviews'").select("base", F.explode("reviews").alias("_r")).select("base", "_r.*")
     return listings, reviews.where("produto_id is not null")

@@ -121,20 +121,20 @@ def write_csv(df: DataFrame, path: str) -> None:
     csv_safe(df).write.option("header", True).option("escape", '"').csv(path)
 
 
-def flat_twin(df: DataFrame, nested: str = "all_reviews", counter: str = "n_all_reviews") -> DataFrame:
-    """Without the nested reviews but with how many there are."""
-    return df.withColumn(counter, F.greatest(F.size(nested), F.lit(0))).drop(nested)
+def flat_twin(df: DataFrame, nested: str = "all_reviews") -> DataFrame:
+    """One row per listing without the nested reviews but with how many there are."""
+    return df.where("part = 0").drop(nested, "part")
 
 
-def export_summary(df: DataFrame, nested: str = "all_reviews") -> DataFrame:
-    n = F.greatest(F.size(nested), F.lit(0))
-    return df.agg(
+def export_summary(df: DataFrame) -> DataFrame:
+    n = F.col("n_all_reviews")
+    return df.where("part = 0").agg(
         F.count(F.lit(1)).alias("products"), F.count(F.when(n > 0, 1)).alias("with_reviews"),
         F.count(F.when(n == 0, 1)).alias("without_reviews"), F.coalesce(F.sum(n), F.lit(0)).alias("reviews"))
 
 
-def write_json(df: DataFrame, path: str, nested: str = "all_reviews") -> None:
+def write_json(df: DataFrame, path: str) -> None:
     """Records under ``path/records`` and the one-row header under ``path/summary``."""
     df.write.json(f"{path}/records")
-    stamped = export_summary(df, nested).withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
+    stamped = export_summary(df).withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
     stamped.write.json(f"{path}/summary")

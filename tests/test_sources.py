@@ -69,6 +69,9 @@ def test_folder_pairs(spark, tmp_path):  # A4, D3, C8
     nested = enrich.nested_reviews(listings, reviews, "id", "produto_id", ["review_number", "text"])
     assert {r.id: [x.text for x in r.all_reviews] for r in nested.collect()} == {"MLB1": ["a", "b"], "MLB2": []}
     assert store.export_summary(nested).first().asDict() == {"products": 2, "with_reviews": 1, "without_reviews": 1, "reviews": 2}
+    small = enrich.nested_reviews(listings, reviews, "id", "produto_id", ["review_number", "text"], chunk=1)
+    assert small.where("id = 'MLB1'").count() == 2 and store.export_summary(small).first() == store.export_summary(nested).first()
+    assert sorted(x.text for r in small.collect() for x in r.all_reviews) == ["a", "b"]
     store.write_json(nested, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out" / "records")).count() == 2
 
