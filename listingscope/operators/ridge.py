@@ -111,7 +111,7 @@ def standard_stats(df: DataFrame, features: Sequence[str]) -> tuple[list[float],
     row = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(filled.values())],
                  *[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(filled.values())]).first()
     n = len(features)
-    return [float(row[i]) for i in range(n)], [float(row[n + i]) or 1.0 for i in range(n)]
+    return [float(row[i]) for i in range(n)], [float(row[n + i]) for i in range(n)]
 
 
 def standardised(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -136,15 +136,23 @@ def fit(df: DataFrame, features: Sequence[str], label: str, alpha: float = 1.0,
     for c, classes in encoders.items():
         coded = encode(coded, c, classes)
     means, scales = standard_stats(coded, names)
-    x = coded.select(*[_standard(F.col(c), m, s).alias(f"x{i}") for i, (c, m, s) in enumerate(zip(names, means, scales))],
+    # A constant column is all zero once standardised, so its weight is 0; left
+    # in, it would make the direct solver give up.
+    live = [i for i, s in enumerate(scales) if s > 0]
+    x = coded.select(*[_standard(F.col(names[i]), means[i], scales[i]).alias(f"x{i}") for i in live],
                      F.when(F.col(label) == 1, 1.0).otherwise(-1.0).alias("y"))
-    size, spread = x.agg(F.count(F.lit(1)), F.stddev_pop("y")).first()
-    assembled = VectorAssembler(inputCols=[f"x{i}" for i in range(len(names))], outputCol="x").transform(x).select("x", "y")
-    # The solver divides the label by its deviation, so the penalty is given on that scale.
-    solver = LinearRegression(featuresCol="x", labelCol="y", solver="normal", standardization=False,
-                              elasticNetParam=0.0, regParam=alpha * (spread or 1.0) / size)
-    found = solver.fit(assembled)
-    return RidgeModel(names, [float(w) for w in found.coefficients], float(found.intercept), means, scales, encoders)
+    size, middle, spread = x.agg(F.count(F.lit(1)), F.avg("y"), F.stddev_pop("y")).first()
+    weights, intercept = [0.0] * len(names), float(middle)
+    if live and spread:
+        assembled = VectorAssembler(inputCols=[f"x{i}" for i in live], outputCol="x").transform(x).select("x", "y")
+        # The solver divides the label by its deviation, so the penalty is given on that scale.
+        solver = LinearRegression(featuresCol="x", labelCol="y", solver="normal", standardization=False,
+                                  elasticNetParam=0.0, regParam=alpha * spread / size)
+        found = solver.fit(assembled)
+        intercept = float(found.intercept)
+        for i, w in zip(live, found.coefficients):
+            weights[i] = float(w)
+    return RidgeModel(names, weights, intercept, means, [s or 1.0 for s in scales], encoders)
 
 
 # Columns never used for training, in our names.
