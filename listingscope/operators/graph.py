@@ -6,10 +6,12 @@ written out edge by edge. The graph is therefore stored in two parts:
 
 * ``pairs`` — edges of alternatives, of similar texts and of every group of at
   most ``hub_size`` sellers, added up per pair;
-* ``hubs`` — larger groups as (hub, seller) memberships, never expanded.
+* ``hubs`` — larger groups as (hub, seller) memberships, never expanded. A member
+  has a ``receive`` and a ``send`` part; in a clique they are equal, and two large
+  crowds of sellers with similar texts are one hub per direction.
 
 Sums over neighbours stay exact. Weighted sums go through the hub: a member
-receives the hub's total minus its own part. Sums over *distinct* neighbours
+receives what the hub's members send minus its own part. Sums over *distinct* neighbours
 must not count a pair twice that shares two hubs, so sellers with the same hub
 memberships form a class, classes that share a hub are linked once, and pairs
 already linked through a hub are marked ``via_hub``.
@@ -38,7 +40,7 @@ HUB_SIZE = 1000
 class SellerGraph:
     nodes: DataFrame                 # seller_id and its attributes
     pairs: DataFrame                 # src <= dst, weight, layer
-    hubs: DataFrame | None = None    # hub, seller_id, m, weight, layer
+    hubs: DataFrame | None = None    # hub, seller_id, send, receive, weight, layer
 
     def links(self) -> DataFrame:
         """Pairs in both directions, a self-loop once."""
@@ -55,17 +57,20 @@ class SellerGraph:
         so these are never gathered into a list.
         """
         digests = self.hubs.groupBy("seller_id").agg(
-            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("hub", "m")).alias("x"),
-            F.bit_xor(F.xxhash64("hub", "m", F.lit(1))).alias("y"))
+            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("hub", "send", "receive")).alias("x"),
+            F.bit_xor(F.xxhash64("hub", "send", "receive", F.lit(1))).alias("y"))
         return cut(digests.select("seller_id", F.concat_ws(":", "n", "x", "y").alias("class_id")))
 
     @cached_property
     def class_links(self) -> DataFrame:
-        """(class_a, class_b, weight) for classes that share a hub, with a <= b."""
+        """(class_a, class_b, weight) for classes that share a hub, with a <= b.
+
+        Every hub exists in both directions, so one of them is enough.
+        """
         speakers = self.classes.groupBy("class_id").agg(F.min("seller_id").alias("seller_id"))
-        seats = cut(self.hubs.join(speakers, "seller_id").select("hub", "class_id", "m", "weight"))
-        a = seats.select("hub", F.col("class_id").alias("class_a"), "weight", F.col("m").alias("_a"))
-        b = seats.select("hub", F.col("class_id").alias("class_b"), F.col("m").alias("_b"))
+        seats = cut(self.hubs.join(speakers, "seller_id").select("hub", "class_id", "send", "receive", "weight"))
+        a = seats.where("receive > 0").select("hub", F.col("class_id").alias("class_a"), "weight", F.col("receive").alias("_a"))
+        b = seats.where("send > 0").select("hub", F.col("class_id").alias("class_b"), F.col("send").alias("_b"))
         met = a.join(b, "hub").where("class_a <= class_b")
         return cut(met.groupBy("class_a", "class_b").agg(F.sum(F.col("weight") * F.col("_a") * F.col("_b")).alias("weight")))
 
@@ -138,10 +143,12 @@ def build(
     groups: Sequence[DataFrame] = (),
     pair_layers: Sequence[DataFrame] = (),
     hub_size: int = HUB_SIZE,
+    crossings: Sequence[DataFrame] = (),
 ) -> SellerGraph:
-    """Combine membership layers and pair layers into one graph."""
+    """Combine membership layers, pair layers and ready-made hubs into one graph."""
+    names = ("hub", "seller_id", "send", "receive", "weight", "layer")
     pieces = [p.select("src", "dst", "weight", "layer") for p in pair_layers]
-    hubs = None
+    held = [c.select(*names) for c in crossings]
     if groups:
         members = groups[0]
         for g in groups[1:]:
@@ -152,9 +159,15 @@ def build(
         small = sized.where(F.col("_size") <= hub_size).drop("_size")
         pieces.append(_expand(small))
         large = sized.where(F.col("_size") > hub_size)
-        hubs = cut(large.select(F.concat_ws(":", "layer", "key").alias("hub"), "seller_id", "m", "weight", "layer"))
-        if hubs.isEmpty():
-            hubs = None
+        held.append(large.select(F.concat_ws(":", "layer", "key").alias("hub"), "seller_id", F.col("m").alias("send"),
+                                 F.col("m").alias("receive"), "weight", "layer"))
+    hubs = None
+    if held:
+        hubs = held[0]
+        for h in held[1:]:
+            hubs = hubs.unionByName(h)
+        hubs = cut(hubs)
+        hubs = None if hubs.isEmpty() else hubs
     stacked = pieces[0]
     for p in pieces[1:]:
         stacked = stacked.unionByName(p)
@@ -196,7 +209,9 @@ def neighbour_sums(g: SellerGraph, values: DataFrame, columns: Sequence[str], by
     linked = _both_ways(g.class_links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
     reach = linked.withColumnsRenamed({"a": "class_a", "b": "class_b"}).join(per_class, "class_b").groupBy(*by, F.col("class_a").alias("class_id")).agg(*sums)
     through = reach.join(g.classes, "class_id").select(*by, "seller_id", *columns)
-    own = classed.select(*by, "seller_id", *[(-F.col(c)).alias(c) for c in columns])
+    # Members of a class that is linked with itself have met their own value too.
+    inner = g.class_links.where("class_a = class_b").select(F.col("class_a").alias("class_id"))
+    own = classed.join(inner, "class_id", "left_semi").select(*by, "seller_id", *[(-F.col(c)).alias(c) for c in columns])
     return near.unionByName(through).unionByName(own).groupBy(*by, "seller_id").agg(*sums)
 
 
@@ -207,10 +222,10 @@ def weighted_sums(g: SellerGraph, values: DataFrame, column: str) -> DataFrame:
     if g.hubs is None:
         return out
     held = g.hubs.join(x.withColumnRenamed("b", "seller_id"), "seller_id", "left")
-    part = F.col("m") * F.coalesce("_x", F.lit(0.0))
-    totals = held.groupBy("hub").agg(F.sum(part).alias("_total"))
-    received = held.join(totals, "hub").groupBy("seller_id").agg(
-        F.sum(F.col("weight") * F.col("m") * (F.col("_total") - part)).alias(column))
+    sent = F.col("send") * F.coalesce("_x", F.lit(0.0))
+    totals = held.groupBy("hub").agg(F.sum(sent).alias("_total"))
+    received = held.where("receive > 0").join(totals, "hub").groupBy("seller_id").agg(
+        F.sum(F.col("weight") * F.col("receive") * (F.col("_total") - sent)).alias(column))
     return out.unionByName(received).groupBy("seller_id").agg(F.sum(column).alias(column))
 
 

@@ -61,15 +61,16 @@ def merged(basic: DataFrame, inputs: Inputs) -> DataFrame:
 def seller_graph(scored: DataFrame, inputs: Inputs, hub_size: int = graph.HUB_SIZE, threshold: float = similarity.THRESHOLD) -> graph.SellerGraph:
     nodes = graph.seller_nodes(scored)
     groups = [graph.catalog_layer(scored)]
-    pairs = [graph.alternative_layer(scored, nodes)]
+    pairs, crossings = [graph.alternative_layer(scored, nodes)], []
     owner = scored.select("listing_id", "seller_id")
     if inputs.images is not None:
         groups.append(graph.image_layer(inputs.images.join(owner, "listing_id")))
     for kind, vectors in inputs.vectors.items():
-        same, near = similarity.similarity_layer(vectors.join(owner, "listing_id"), kind, threshold)
+        same, near, wide = similarity.similarity_layer(vectors.join(owner, "listing_id"), kind, threshold, hub_size)
         groups.append(same)
         pairs.append(near)
-    return graph.build(nodes, groups, pairs, hub_size)
+        crossings.append(wide)
+    return graph.build(nodes, groups, pairs, hub_size, crossings)
 
 
 def run(spark: SparkSession, inputs: Inputs, out: str, hub_size: int = graph.HUB_SIZE, path_samples: int | None = None) -> DataFrame:

@@ -30,11 +30,11 @@ def image_graph(t: Tables) -> graph.SellerGraph:
 def full_graph(t: Tables) -> graph.SellerGraph:
     """All four layers."""
     n = cut(nodes(t))
-    same, near = similarity.similarity_layer(t.vectors(), "text", NEAR)
+    same, near, wide = similarity.similarity_layer(t.vectors(), "text", NEAR, HUB)
     known = near.join(n.select(F.col("seller_id").alias("src")), "src", "left_semi").join(n.select(F.col("seller_id").alias("dst")), "dst", "left_semi")
-    same = same.join(n.select("seller_id"), "seller_id", "left_semi")
+    same, wide = (rows.join(n.select("seller_id"), "seller_id", "left_semi") for rows in (same, wide))
     return graph.build(n, [graph.catalog_layer(t.listings()), graph.image_layer(t.images()), same],
-                       [graph.alternative_layer(alternatives(t), n), known], hub_size=HUB)
+                       [graph.alternative_layer(alternatives(t), n), known], HUB, [wide])
 
 
 CATALOG_SQL = """
@@ -91,7 +91,7 @@ def image_layer(t: Tables):
 
 @query("similarity_layer", f"WITH {SIMILAR_SQL.strip()} SELECT least(sa, sb) AS src, greatest(sa, sb) AS dst, 0.5e0 * count(*) AS weight FROM sim WHERE sa <> sb GROUP BY 1, 2")
 def similarity_layer(t: Tables):
-    _, pairs = similarity.similarity_layer(t.vectors(), "text", NEAR, block=64)
+    _, pairs, _ = similarity.similarity_layer(t.vectors(), "text", NEAR, block=64)
     return pairs.select("src", "dst", "weight")
 
 

@@ -7,10 +7,12 @@ from listingscope.operators import graph, similarity
 
 
 def vectors(seed=3, n=160, dim=6):
-    """A third of the rows are one vector, some lie close together, two have no direction."""
+    """A third of the rows are one vector, a quarter another close to it, two have no direction."""
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(12, dim))
     rows = [base[i % 12] + rng.normal(scale=0.15, size=dim) for i in range(n)]
+    for i in range(1, n, 4):
+        rows[i] = base[0] + 0.01
     for i in range(0, n, 3):
         rows[i] = base[0]
     rows[1] = np.zeros(dim)
@@ -38,11 +40,14 @@ def test_pairs_and_edges(spark, table, threshold, block, pivots):
     valid, pairs, edges = brute(data, threshold)
     found = similarity.similarity_counts(rows, threshold, block=block, max_pivots=pivots).first()
     assert (found.valid, found.pairs) == (valid, pairs)
-    same, near = similarity.similarity_layer(rows, "t", threshold, block=block, max_pivots=pivots)
     nodes = rows.select("seller_id").distinct().selectExpr("seller_id", "1 AS listings", "0 AS suspects")
-    for hub_size in (1000, 2):
-        g = graph.build(nodes, [same], [near], hub_size=hub_size)
+    for hub_size in (1000, 2, 1):
+        same, near, wide = similarity.similarity_layer(rows, "t", threshold, hub_size, block=block, max_pivots=pivots)
+        assert wide.isEmpty() == (hub_size == 1000)
+        g = graph.build(nodes, [same], [near], hub_size, [wide])
         strength = {r.seller_id: r.total_weight for r in graph.neighbourhood(g).collect()}
         want = {s: sum(w for e, w in edges.items() if s in e) for s in range(9)}
         assert strength == pytest.approx(want)
-        assert graph.summary(g).first().edges == len(edges)
+        around = graph.summary(g).first()
+        assert around.edges == len(edges)
+        assert (around.weight_min, around.weight_max) == (min(edges.values()), max(edges.values()))
