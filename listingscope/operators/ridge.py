@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from listingscope.functions.columns import count_where
 from listingscope.operators.dedupe import dense_index
 from listingscope.operators.rules import effect_label
+from listingscope.session import cut
 
 UNKNOWN = "unknown"
 
@@ -105,11 +106,19 @@ def _standard(c: Column, mean: float, scale: float) -> Column:
     return (F.coalesce(c.cast("double"), F.lit(0.0)) - F.lit(mean)) / F.lit(scale)
 
 
+def _deviation(c: Column) -> Column:
+    return F.when(F.min(c) < F.max(c), F.stddev_pop(c)).otherwise(0.0)
+
+
 def standard_stats(df: DataFrame, features: Sequence[str]) -> tuple[list[float], list[float]]:
-    """Means and population deviations, missing values counted as 0."""
+    """Means and population deviations, missing values counted as 0.
+
+    A constant column has deviation 0 by its ends: summed over parts, its
+    deviation may come out a little above.
+    """
     filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features}
     row = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(filled.values())],
-                 *[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(filled.values())]).first()
+                 *[_deviation(v).alias(f"s{i}") for i, v in enumerate(filled.values())]).first()
     n = len(features)
     return [float(row[i]) for i in range(n)], [float(row[n + i]) for i in range(n)]
 
@@ -117,7 +126,7 @@ def standard_stats(df: DataFrame, features: Sequence[str]) -> tuple[list[float],
 def standardised(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Each feature minus its mean over its population deviation; a constant one becomes 0."""
     stats = df.agg(F.struct(*[F.struct(F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias("m"),
-                                       F.stddev_pop(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias("s")).alias(c) for c in features]).alias("z"))
+                                       _deviation(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias("s")).alias(c) for c in features]).alias("z"))
     wide = df.withColumn("_z", stats.scalar())
     return wide.withColumns({
         c: F.when(F.col(f"_z.{c}.s") > 0, (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.col(f"_z.{c}.m")) / F.col(f"_z.{c}.s")).otherwise(0.0)
@@ -135,6 +144,7 @@ def fit(df: DataFrame, features: Sequence[str], label: str, alpha: float = 1.0,
     coded = df
     for c, classes in encoders.items():
         coded = encode(coded, c, classes)
+    coded = cut(coded.select(*names, label))  # three passes follow
     means, scales = standard_stats(coded, names)
     # A constant column is all zero once standardised, so its weight is 0; left
     # in, it would make the direct solver give up.
