@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CHECKPOINTS = "spark.checkpoint.dir"
+
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and benches; on a cluster use the session it gives."""
@@ -20,6 +22,7 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(CHECKPOINTS, f"/tmp/listingscope-{uuid.uuid4().hex}")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -29,29 +32,55 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for intermediate tables.
 
-    Only a local session may fall back to a folder of its own: on a cluster a
-    machine-local folder is lost with its machine.
+    Where none is named, a local session gets one of its own: all its tasks run on one machine. On a cluster a machine-local folder is lost
+    with its machine, so the setting is asked for.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", "")
-    if shared:
-        return shared
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if spark.sparkContext.applicationId not in _LOCAL:
-        _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return _LOCAL[spark.sparkContext.applicationId]
+    shared = spark.conf.get(CHECKPOINTS, "")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {CHECKPOINTS} to a folder every executor can reach")
+        shared = f"/tmp/listingscope-{spark.sparkContext.applicationId}"
+        spark.conf.set(CHECKPOINTS, shared)
+    return shared
 
 
-_LOCAL: dict[str, str] = {}
+_WRITTEN: dict[int, tuple[SparkSession, dict[str, None]]] = {}
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, store it as a table and go on from the stored rows.
 
-    A written table outlives lost executors, brings its size to the planner and
-    starts the next plan afresh, which a loop of joins needs.
+    A written table outlives lost executors, brings its size to the planner and starts the next plan afresh, which a loop of joins needs. It
+    stays until ``discard`` or the end of the session.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    key = id(spark.sparkContext)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = (spark, {})
+    _WRITTEN[key][1][path] = None
+    stored._listingscope_path = path
+    return stored
+
+
+def discard(stored: DataFrame) -> None:
+    """Remove a table of ``cut`` that no later plan reads."""
+    path = getattr(stored, "_listingscope_path", None)
+    if path:
+        _remove(stored.sparkSession, path)
+        _WRITTEN[id(stored.sparkSession.sparkContext)][1].pop(path, None)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, paths in _WRITTEN.values():
+        if spark.sparkContext._jsc is not None:
+            for path in paths:
+                _remove(spark, path)
