@@ -34,7 +34,7 @@ from listingscope.session import cut, discard
 COORDINATES, ROWS = 128, 4
 BANDS = COORDINATES // ROWS
 LEAST_EQUAL = 0.6 * COORDINATES
-CHUNK, BLOCK = 64, 2048
+CHUNK, BLOCK = 64, 512
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -108,11 +108,9 @@ def _bucket_keys(bands: np.ndarray) -> np.ndarray:
         return wb.mix(bands + salt).view(np.int64)
 
 
-def _buckets(reps: DataFrame, extra: str | None = None) -> DataFrame:
-    """(bucket, band, id): one row per band of each document, with ``extra`` if asked for."""
-    names = ["id", *([extra] if extra else [])]
-    fields = [reps.schema[n] for n in names]
-    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("band", T.IntegerType()), *fields])
+def _buckets(reps: DataFrame) -> DataFrame:
+    """(bucket, band, id): one row per band of each document."""
+    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("band", T.IntegerType()), reps.schema["id"]])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,10 +120,10 @@ def _buckets(reps: DataFrame, extra: str | None = None) -> DataFrame:
             keys = _bucket_keys(_matrix(batch.column("sketch")))
             row = pa.array(np.repeat(np.arange(n), BANDS))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), *(batch.column(x).take(row) for x in names)],
-                ["bucket", "band", *names])
+                [pa.array(keys.ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), batch.column("id").take(row)],
+                ["bucket", "band", "id"])
 
-    return reps.select(*names, "sketch").mapInArrow(deal, schema)
+    return reps.select("id", "sketch").mapInArrow(deal, schema)
 
 
 # ---------------------------------------------------------------- candidates
@@ -150,49 +148,69 @@ def _sizes_fit(na: Column, nb: Column, percent: int) -> Column:
     return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
 
 
-def _across(reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket, each once."""
+def _across(reps: DataFrame, crowded: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Seats of documents of different components that share a bucket and may be similar; a pair sits together in one block only.
+
+    A bucket's documents are hosts, each in one block; those outside the largest component are guests of every block.
+    """
     known = reps.join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
-    known = cut(known.select("id", "n_shingles", "sketch", F.coalesce("component", "id").alias("component")))
-    dealt = _buckets(known, "component")
+    known = known.select("id", "n_shingles", "sketch", F.coalesce("component", "id").alias("component"))
+    dealt = cut(crowded.join(known.select("id", "component"), "id"))
     per_part = dealt.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = per_part.groupBy("bucket").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("major"))
     mixed = mixed.where("parts > 1").select("bucket", "major", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = dealt.join(mixed, "bucket").join(known.select("id", "n_shingles", "sketch"), "id")
+    rows = dealt.join(mixed, "bucket").join(known.drop("component"), "id")
     columns = ["bucket", "block", "role", "band", "id", "component", "n_shingles", "sketch", "major"]
     hosts = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("role", F.lit(0))
     guests = rows.where("component <> major").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1))
     laid = hosts.select(*columns).unionByName(guests.select(*columns))
     laid = laid.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "role")
-    kind = reps.schema["id"].dataType
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    schema = _seats_schema(reps.schema["id"].dataType, T.LongType())
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, hosts_ = None, []
-        host = None
+        at, parts, host, wanted = None, [], None, None
         for batch in batches:
-            keys = list(zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), batch.column("role").to_pylist()))
+            marks = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "role"))))
             start = 0
-            while start < len(keys):
+            while start < len(marks):
                 stop = start
-                while stop < len(keys) and keys[stop] == keys[start]:
+                while stop < len(marks) and marks[stop] == marks[start]:
                     stop += 1
                 run = _Run(batch.slice(start, stop - start))
-                if keys[start][:2] != at:
-                    at, hosts_ = keys[start][:2], []
-                if keys[start][2] == 0:
-                    hosts_.append(run)
-                    host = None
+                if marks[start][:2] != at:
+                    if host is not None:
+                        yield from _seats(at, 0, host.ids[wanted], [[]] * int(wanted.sum()), batch.schema.field("id").type)
+                    at, parts, host = marks[start][:2], [], None
+                if marks[start][2] == 0:
+                    parts.append(run)
                 else:
                     if host is None:
-                        host = _Run.joined(hosts_)
-                    yield from host.met_by(run, percent, schema)
+                        host = _Run.joined(parts)
+                        wanted = np.zeros(len(host.ids), bool)
+                    ids, partners = host.partners_of(run, percent, wanted)
+                    yield from _seats(at, 1, ids, partners, batch.schema.field("id").type)
                 start = stop
+        if host is not None:
+            kind = pa.array(host.ids).type
+            yield from _seats(at, 0, host.ids[wanted], [[]] * int(wanted.sum()), kind)
 
     return laid.mapInArrow(meet, schema)
 
 
+def _seats_schema(kind: T.DataType, group: T.DataType) -> T.StructType:
+    return T.StructType([
+        T.StructField("group", group), T.StructField("block", T.IntegerType()), T.StructField("role", T.IntegerType()),
+        T.StructField("id", kind), T.StructField("partners", T.ArrayType(kind))])
+
+
+def _seats(at: tuple, role: int, ids, partners: list, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    if len(ids):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([at[0]] * len(ids), pa.int64()), pa.array([at[1]] * len(ids), pa.int32()), pa.array([role] * len(ids), pa.int32()),
+             pa.array(ids, kind), pa.array(partners, pa.list_(kind))], ["group", "block", "role", "id", "partners"])
+
+
 class _Run:
     """Documents of one block of a bucket as arrays."""
 
@@ -212,8 +230,9 @@ class _Run:
         out.band, out.major = runs[0].band, runs[0].major
         return out
 
-    def met_by(self, guests: _Run, percent: int, schema: T.StructType) -> Iterator[pa.RecordBatch]:
-        coordinates = self.bands.view("<u2")
+    def partners_of(self, guests: _Run, percent: int, wanted: np.ndarray) -> tuple[list, list]:
+        """Guests with partners among the hosts, and these; marks the hosts in ``wanted``."""
+        coordinates, ids, partners = self.bands.view("<u2"), [], []
         for i in range(len(guests.ids)):
             near = (self.parts != guests.parts[i]) & (np.minimum(self.sizes, guests.sizes[i]) * 100 >= np.maximum(self.sizes, guests.sizes[i]) * percent)
             # Two guests meet twice, and documents may share several bands: one place counts.
@@ -223,53 +242,61 @@ class _Run:
             if len(near):
                 near = near[(self.bands[near] == guests.bands[i]).argmax(axis=1) == self.band]
             if len(near):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(self.ids[near], guests.ids[i])), pa.array(np.maximum(self.ids[near], guests.ids[i]))], ["a", "b"])
+                wanted[near] = True
+                ids.append(guests.ids[i])
+                partners.append(self.ids[near])
+        return ids, partners
 
 
 # ---------------------------------------------------------------- exact check
 
-def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
-    """Pairs (a, b) with 100 * |A and B| >= percent * |A or B| on whole sets, recomputed from the texts."""
-    pairs = cut(pairs)
+def _star_seats(pairs: DataFrame) -> DataFrame:
+    """Seats of pairs (a, b): a hosts its partners, of which a block holds about CHUNK."""
     crowd = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
-    dealt = pairs.join(crowd, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
-    need = dealt.select(F.col("b").alias("id"), "a", "chunk", F.lit(1).alias("role")).unionByName(
-        dealt.select(F.col("a").alias("id"), "a", "chunk", F.lit(0).alias("role")).distinct())
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(need, "id")
+    dealt = pairs.join(crowd, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("block"))
+    guests = dealt.select(F.col("a").alias("group"), "block", F.lit(1).alias("role"), F.col("b").alias("id"), F.array("a").alias("partners"))
+    hosts = dealt.select("a", "block").distinct().select(F.col("a").alias("group"), "block", F.lit(0).alias("role"), F.col("a").alias("id"))
+    return guests.unionByName(hosts.withColumn("partners", F.array().cast(guests.schema["partners"].dataType)))
+
+
+def _linked(seats: DataFrame, docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
+    """Pairs (a, b) of guests and partners with 100 * |A and B| >= percent * |A or B| on whole sets, recomputed from the texts.
+
+    The texts are always joined by a shuffle: the join's data then grows with the table and does not jump where a broadcast ends.
+    """
     kind = docs.schema[key].dataType
-    set_schema = T.StructType([
-        T.StructField("a", kind), T.StructField("chunk", T.IntegerType()), T.StructField("role", T.IntegerType()), T.StructField("id", kind),
-        T.StructField("set", T.BinaryType())])
+    seats = cut(seats)
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id is not null").join(seats.hint("merge"), "id")
+    columns = ["group", "block", "role", "id", "partners"]
+    schema = T.StructType([*(seats.schema[c] for c in columns), T.StructField("set", T.BinaryType())])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in wb.slices(batch, "t"):
                 sets = [s.tobytes() for s in shingle_sets(part.column("t"), words)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("a"), part.column("chunk"), part.column("role"), part.column("id"), pa.array(sets, pa.binary())],
-                    ["a", "chunk", "role", "id", "set"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(sets, pa.binary())], [*columns, "set"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, first = None, []
+        at, hosts = None, {}
         for batch in batches:
             found = []
-            for a, chunk, role, id_, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if (a, chunk) != at:
-                    at, first = (a, chunk), []
+            for group, block, role, id_, partners, data in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if (group, block) != at:
+                    at, hosts = (group, block), {}
                 own = np.frombuffer(data, np.uint64)
                 if role == 0:
-                    first.append(own)
-                elif any(_similar(x, own, percent) for x in first):
-                    found.append((a, id_))
+                    hosts.setdefault(id_, []).append(own)
+                else:
+                    found += [(id_, p) for p in partners if any(_similar(x, own, percent) for x in hosts.get(p, ()))]
             if found:
                 a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field("a").type), pa.array(b, batch.schema.field("a").type)], ["a", "b"])
+                type_ = batch.schema.field("id").type
+                yield pa.RecordBatch.from_arrays([pa.array(a, type_), pa.array(b, type_)], ["a", "b"])
 
-    sets = texts.select("a", "chunk", "role", "id", "t").mapInArrow(gather, set_schema)
-    sets = sets.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
+    sets = texts.select(*columns, "t").mapInArrow(gather, schema)
+    sets = sets.repartition("group", "block").sortWithinPartitions("group", "block", "role")
     linked = cut(sets.mapInArrow(check, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])))
-    discard(pairs)
+    discard(seats)
     return linked
 
 
@@ -301,10 +328,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
         F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     dealt = _buckets(reps)
     crowds = dealt.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "a")
-    stars = dealt.join(crowds, "bucket").where("id > a").select("a", F.col("id").alias("b")).distinct()
-    near = _linked(_likely(stars, reps, percent), docs, words, percent, key, text)
+    crowded = cut(dealt.join(crowds, "bucket"))
+    stars = crowded.where("id > a").select("a", F.col("id").alias("b")).distinct()
+    near = _linked(_star_seats(cut(_likely(stars, reps, percent))), docs, words, percent, key, text)
     labels = cut(smallest_reachable(near))
-    more = _linked(_across(reps, labels, percent), docs, words, percent, key, text)
+    more = _linked(_across(reps, crowded.drop("a"), labels, percent), docs, words, percent, key, text)
     steps = more.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left").select(
         F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     merged = smallest_reachable(steps).toDF("component", "root")
