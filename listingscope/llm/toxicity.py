@@ -5,11 +5,12 @@ bytes, hashed to 2^FEATURE_BITS cells. A cell counts the documents of either cla
 informative Dirichlet prior: PRIOR documents of either class that hold the cell as often as all documents do. A word scores the log-odds of its
 most significant cell (largest |z| above SIGNIFICANT), or nothing, less DRIFT.
 
-Scoring. The best segment of a text is the largest sum over consecutive words. Scores of clean text are a random walk with negative drift, so
-their maximum over n words follows an extreme-value law: P(max >= s) = 1 - exp(-K n e^(-lambda s)), with lambda the positive root of
-E[e^(lambda x)] = 1 over the words of clean labelled documents and K fitted to their maxima. The logarithm of K n e^(-lambda s) is turned
-into the probability of label 1 by a logistic curve fitted on the same documents. Passages are the maximal segments (Ruzzo and Tompa) whose
-expected number K n e^(-lambda s) is below PASSAGE.
+Scoring. The maximal segments of a text (Ruzzo and Tompa) are its candidate passages. Segments of clean text exceed a high score s at the rate
+E(s) = K n e^(-lambda s) for n words: the scores are a random walk with negative drift, whose peaks have an exponential tail. lambda and K are
+fitted to the peaks above PEAK of the clean labelled documents. If a text's r-th best segment scores s, the chance of r such segments in clean text
+is the Poisson tail P(N >= r | E(s)); the smallest of these over r is its extreme-value p-value, so one strong passage counts as well as
+several weaker ones. -log p becomes the probability of label 1 by a logistic curve fitted on the same documents. Passages with E(s) below PASSAGE
+are reported as significant by themselves.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from listingscope.llm import wordbytes as wb
 LABELLED = 6000          # labelled documents per class that teach: the bound of the sample
 FEATURE_BITS = 20        # the model is an array of 2^20 numbers, whatever it learned from
 PREFIXES = (4, 5, 6)
-PRIOR, SIGNIFICANT, DRIFT = 20.0, 3.0, 0.5
+PRIOR, SIGNIFICANT, DRIFT = 20.0, 4.0, 0.1
+PEAK, MOST_RANKS = 1.0, 16   # peaks that are fitted; ranks r that are looked at
 PASSAGE = 0.05
 
 
@@ -59,30 +61,12 @@ def _word_scores(w: wb.Words, model: Model) -> np.ndarray:
     return np.where(np.abs(model.z[at]) > SIGNIFICANT, model.odds[at], 0.0) - DRIFT
 
 
-def _best_segments(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Largest sum of consecutive scores of each text; 0 where no score is positive."""
-    n = len(first) - 1
-    best = np.zeros(n)
-    full = np.flatnonzero(np.diff(first) > 0)
-    if len(full):
-        sums = np.concatenate(([0.0], np.cumsum(scores)))
-        # A large step down per text keeps the running least of one text out of the next.
-        step = (np.abs(scores).sum() + 1.0)
-        owner = np.repeat(np.arange(n), np.diff(first))
-        before = np.minimum.accumulate(sums[:-1] - owner * step) + owner * step
-        best[full] = np.maximum.reduceat(sums[1:] - before, first[full])
-    return np.maximum(best, 0.0)
-
-
 def segments(scores: np.ndarray, least: float) -> list[tuple[int, int, float]]:
     """Ruzzo and Tompa: all maximal segments (first, end, sum) with at least the given sum."""
     stack: list[tuple[int, int, float, float]] = []   # first, end, sum before, sum at end
-    total = 0.0
-    for i, s in enumerate(scores.tolist()):
-        left = total
-        total += s
-        if s <= 0:
-            continue
+    sums = np.concatenate(([0.0], np.cumsum(scores)))
+    for i in np.flatnonzero(scores > 0).tolist():   # only these can begin or end a segment
+        left, total = float(sums[i]), float(sums[i + 1])
         new = (i, i + 1, left, total)
         while True:
             j = len(stack) - 1
@@ -152,41 +136,49 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _calibrate(model: Model, sample: DataFrame, prior: float) -> Model:
-    """Fit lambda and K to clean documents, then the logistic curve to both classes."""
+    """Fit lambda and K to the peaks of clean documents, then the logistic curve to both classes."""
 
-    def maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def peaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in wb.slices(batch, "t"):
                 w = wb.words(part.column("t"), wb.ALPHANUMERIC)
-                scores = _word_scores(w, model)
-                n = np.diff(w.first)
-                bins = [np.bincount(np.clip(((scores[a:b] + 16) * 4).astype(int), 0, 127), minlength=128).tolist() for a, b in zip(w.first[:-1], w.first[1:])]
+                best = [sorted((s for _, _, s in own), reverse=True)[:MOST_RANKS] for own in _segments_of(w, model, PEAK)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("y"), pa.array(n), pa.array(_best_segments(scores, w.first)), pa.array(bins, pa.list_(pa.int64()))],
-                    ["y", "n", "best", "bins"])
+                    [part.column("y"), pa.array(np.diff(w.first)), pa.array(best, pa.list_(pa.float64()))], ["y", "n", "best"])
 
-    rows = sample.mapInArrow(maxima, "y int, n long, best double, bins array<long>").toPandas()  # at most about 2 * LABELLED rows
+    rows = sample.mapInArrow(peaks, "y int, n long, best array<double>").toPandas()  # about 2 * LABELLED rows of at most MOST_RANKS numbers
     clean = rows[rows.y == 0]
-    share = np.stack(clean.bins.to_list()).sum(axis=0).astype(float)
-    share /= max(1.0, share.sum())
-    step = np.arange(128) / 4 - 16 + 0.125
-    low, high = 1e-3, 10.0
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if (share * np.exp(np.clip(middle * step, -700, 700))).sum() < 1 else (low, middle)
-    model.rate = low
-    # The median of the Gumbel law over the clean documents gives K.
-    size = np.maximum(clean.n.to_numpy(), 1)
-    model.log_k = float(np.median(math.log(math.log(2)) - np.log(size) + model.rate * clean.best.to_numpy())) if len(clean) else 0.0
-    x = -_log_expected(model, rows.n.to_numpy(), rows.best.to_numpy())
+    found = np.concatenate([np.asarray(b, float) for b in clean.best] or [np.empty(0)])
+    # The exponential tail's likelihood has its maximum at 1 / mean excess; one more peak keeps an empty tail finite.
+    model.rate = (len(found) + 1) / ((found - PEAK).sum() + 1.0)
+    model.log_k = math.log((len(found) + 1) / max(1, clean.n.sum())) + model.rate * PEAK
+    x = np.array([_surprise(model, n, b) for n, b in zip(rows.n, rows.best)])
     y = rows.y.to_numpy()
     weight = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum()))
     model.slope, model.base = _logistic(x, y, weight / weight.sum())
     return model
 
 
-def _log_expected(model: Model, n: np.ndarray, best: np.ndarray) -> np.ndarray:
-    return model.log_k + np.log(np.maximum(n, 1)) - model.rate * best
+def _segments_of(w: wb.Words, model: Model, least: float) -> list[list[tuple[int, int, float]]]:
+    scores = _word_scores(w, model)
+    return [segments(scores[a:b], least) for a, b in zip(w.first[:-1], w.first[1:])]
+
+
+def _surprise(model: Model, n: int, best) -> float:
+    """-log of the smallest Poisson tail over the ranks of the segment sums, which descend."""
+    most = 0.0
+    for r, s in enumerate(best, 1):
+        rate = math.exp(min(0.0, _log_expected(model, n, s)) if r == 1 else min(50.0, _log_expected(model, n, s)))
+        if rate < r:
+            # P(N >= r) lies between its first term and that over 1 - rate / (r + 1).
+            log_p = r * math.log(max(rate, 1e-300)) - rate - math.lgamma(r + 1) - math.log(1 - rate / (r + 1))
+            most = max(most, -log_p)
+    return min(most, 300.0)
+
+
+def _log_expected(model: Model, n: int, s: float) -> float:
+    """Logarithm of the number of segments of clean text with n words that score s or more."""
+    return model.log_k + math.log(max(n, 1)) - model.rate * s
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -205,7 +197,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score, log_expected, passages) for every row; passages are (first word, words, sum) of every significant segment.
+    """(key, score, surprise, passages) for every row; surprise is -log p, passages are (first word, words, sum) of every significant segment.
 
     Null, empty and wordless texts have the score of a text without any toxic word and no passages. Equal texts get equal scores. Only the text
     is read. The model is broadcast: 8 MB, whatever it learned from.
@@ -215,24 +207,21 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     shared = spark.sparkContext.broadcast(model)
     passage = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("words", T.LongType()), T.StructField("sum", T.DoubleType())]))
     schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("score", T.DoubleType()),
-                           T.StructField("log_expected", T.DoubleType()), T.StructField("passages", passage)])
+                           T.StructField("surprise", T.DoubleType()), T.StructField("passages", passage)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             for part in wb.slices(batch, "t"):
                 w = wb.words(part.column("t"), wb.ALPHANUMERIC)
-                scores, n = _word_scores(w, m), np.diff(w.first)
-                best = _best_segments(scores, w.first)
-                expected = _log_expected(m, n, best)
-                chance = 1 / (1 + np.exp(-np.clip(m.base - m.slope * expected, -40, 40)))
-                least = (m.log_k + np.log(np.maximum(n, 1)) - math.log(PASSAGE)) / m.rate
-                found = [
-                    [{"first": a, "words": b - a, "sum": s} for a, b, s in segments(scores[w.first[d]:w.first[d + 1]], least[d])] if best[d] > 0 and best[d] >= least[d] else []
-                    for d in range(len(n))]
+                surprise, found = [], []
+                for n, own in zip(np.diff(w.first).tolist(), _segments_of(w, m, PEAK)):
+                    surprise.append(_surprise(m, n, sorted((s for _, _, s in own), reverse=True)[:MOST_RANKS]))
+                    found.append([{"first": a, "words": b - a, "sum": s} for a, b, s in own if _log_expected(m, n, s) < math.log(PASSAGE)])
+                chance = 1 / (1 + np.exp(-np.clip(m.base + m.slope * np.array(surprise), -40, 40)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(chance), pa.array(expected), pa.array(found, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("sum", pa.float64())])))],
-                    ["id", "score", "log_expected", "passages"])
+                    [part.column("id"), pa.array(chance), pa.array(surprise), pa.array(found, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("sum", pa.float64())])))],
+                    ["id", "score", "surprise", "passages"])
 
     out = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, schema)
-    return out.select(F.col("id").alias(key), "score", "log_expected", "passages")
+    return out.select(F.col("id").alias(key), "score", "surprise", "passages")

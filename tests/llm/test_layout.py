@@ -85,8 +85,9 @@ def lines(n, seed=1):
     rows = []
     for i in range(n):
         name, day = r.choice(("Ann", "Bob", "Cy", "Dee")), r.randrange(10**6)
-        text = [f"own words {i} of this{i} text and more{i} here", f"Posted on the page by {name} at noon for all", f"Order {day} shipped"]
-        rows.append((i, "\n".join([*text[:1 + i % 3], "", "All rights reserved." if i % 4 == 0 else f"tail word{i} of many other w{i} x"])))
+        w = "".join(chr(97 + int(c)) for c in f"{i * i * 7919:07d}")
+        text = [f"own {w} of {w[::-1]} text and {w[1:]} here", f"Posted on the page by {name} at noon for all", f"Order {day} shipped"]
+        rows.append((i, "\n".join([*text[:1 + i % 3], "", "All rights reserved." if i % 4 == 0 else f"tail {w} of many other {w} x"])))
     return [*rows, (n, None), (n + 1, ""), (n + 2, "\n\n"), (n + 3, rows[5][1]), (n + 3, rows[5][1]), (None, rows[2][1] + "\nend")]
 
 
@@ -96,7 +97,7 @@ def test_recurring_templates_go(spark):
     text = {r.doc_id: r.text for r in got.collect()}
     assert got.count() == 46 and text[40] is None and text[41] == "" and text[42] == "\n\n"
     joined = "\n".join(t for t in text.values() if t)
-    assert "Posted on" not in joined and "shipped" not in joined and "reserved" not in joined and joined.count("own words") == 42
+    assert "Posted on" not in joined and "shipped" not in joined and "reserved" not in joined and joined.count("own ") == 42
     con = duckdb.connect()
     documents = df.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"})  # noqa: F841
     con.register("documents", documents)

@@ -83,8 +83,6 @@ def test_segments_are_maximal():
         assert all(x[1] <= y[0] for x, y in zip(found, found[1:]))
         for a, b, _ in found:   # no part of a segment that begins or ends it may be without gain
             assert all(scores[a:i].sum() > 0 for i in range(a + 1, b + 1)) and all(scores[i:b].sum() > 0 for i in range(a, b))
-        first = np.array([0, 0, len(scores), len(scores)])
-        assert toxicity._best_segments(scores, first).tolist() == [0, best_sum(scores.tolist()), 0]
 
 
 def test_toxicity_of_held_out_texts(spark):
