@@ -52,15 +52,9 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return round_even(F.when(whole > 0, part / whole * 100.0), digits)
 
 
-def clip_text(c: Column, limit: int) -> Column:
-    return F.substring(strip(c), 1, limit)
-
-
-def csv_text(c: Column, limit: int = 1000) -> Column:
-    """One-line text for CSV: blank runs to one space, long text cut and marked."""
-    flat = F.regexp_replace(F.coalesce(c, F.lit("")), f"{BLANK}+", " ")
-    short = F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit), F.lit("...")))
-    return F.trim(F.coalesce(short, flat))
+def csv_text(c: Column) -> Column:
+    """One-line text for CSV: blank runs to one space, nothing cut."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"{BLANK}+", " "))
 
 
 def lookup(c: Column, table: dict, default=None) -> Column:

@@ -102,9 +102,9 @@ SPEC_PAIRS = {"cartridge_type": ("tipo", "cartucho"), "ink_colour": ("cor", "tin
 ALPHANUMERIC = "alfanumérico"
 
 
-def spec_rows(html: Column, limit: int = 20) -> Column:
-    """array<struct<name, value>> of the specification table's first rows."""
-    rows = F.slice(F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), 1, limit)
+def spec_rows(html: Column) -> Column:
+    """array<struct<name, value>> of all rows of the specification table."""
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
     pairs = F.transform(rows, lambda r: F.struct(
         F.lower(inner_text(F.regexp_extract(r, r"(?is)<th[^>]*>(.*?)</th>", 1))).alias("name"),
         inner_text(F.regexp_extract(r, r"(?is)<td[^>]*>(.*?)</td>", 1)).alias("value"),
@@ -209,8 +209,8 @@ PRODUCT_MARKS = r"(?i)<h1[\s>]|ui-pdp-|andes-card|ui-vip-core|data-testid=[\"']p
 ERROR_BOXES = r"(?i)class=[\"'][^\"']*(?:ui-empty-state|not-found-page|error-page)"
 
 
-def is_error_page(url: Column, html: Column, small: int = 5000) -> Column:
-    """Clear marks first; otherwise a small page without product marks but with an error box."""
+def is_error_page(url: Column, html: Column) -> Column:
+    """Clear marks first; otherwise a page of any length without product marks but with an error box."""
     where = F.lower(url)
     title = F.lower(F.coalesce(page_title(html), F.lit("")))
     state = F.lower(F.coalesce(text_of_class(html, "ui-empty-state__title"), F.lit("")))
@@ -222,15 +222,15 @@ def is_error_page(url: Column, html: Column, small: int = 5000) -> Column:
     clear = clear | (title.contains("erro") & title.contains("404"))
     clear = clear | state.contains("não encontrado") | state.contains("erro")
     clear = clear | (html.contains("ui-empty-state__icon") & ~F.lower(html).contains("produto"))
-    bare = ~html.rlike(PRODUCT_MARKS) & (F.length(html) < small) & html.rlike(ERROR_BOXES)
+    bare = ~html.rlike(PRODUCT_MARKS) & html.rlike(ERROR_BOXES)
     return F.coalesce(clear | bare, F.lit(False))
 
 
-def review_rows(pages: DataFrame, limit: int = 50) -> DataFrame:
+def review_rows(pages: DataFrame) -> DataFrame:
     """One row per review of a stored page, stamped with the page's product."""
     articles = F.regexp_extract_all(
         F.col("html"), F.lit(r"(?is)<article[^>]*review-capability-comments__comment[^>]*>(.*?)</article>"), F.lit(1))
-    rows = pages.select("product_id", "title", "url", F.posexplode(F.slice(articles, 1, limit)).alias("_pos", "_r"))
+    rows = pages.select("product_id", "title", "url", F.posexplode(articles).alias("_pos", "_r"))
     r = F.col("_r")
     images = F.regexp_extract_all(r, F.lit(r"""(?is)<img[^>]*carousel-mobile__img[^>]*src=["']([^"']+)["']"""), F.lit(1))
     like_box = F.regexp_extract(r, r"""(?is)<button[^>]*data-testid=["']like-button["'][^>]*>(.*?)</button>""", 1)

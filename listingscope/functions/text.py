@@ -9,20 +9,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listingscope.functions.columns import clip_text, count_where, flag, strip
+from listingscope.functions.columns import count_where, flag, strip
 
 # Word lists named in the public report.
 FRAUD_WORDS = ("falso", "pirata", "genérico vendido como original", "não é hp", "falsa", "contrabando")
 PERFORMANCE_WORDS = ("vazou", "quebrou", "ruim")
 
 
-def is_text(text: Column, min_chars: int = 5, placeholders: Sequence[str] = ()) -> Column:
+def is_text(text: Column, min_chars: int = 0, placeholders: Sequence[str] = ()) -> Column:
     """Longer than ``min_chars`` after trimming and none of the placeholders."""
     kept = F.length(strip(text)) > min_chars
     return kept & ~strip(text).isin(*placeholders) if placeholders else kept
 
 
-def usable_reviews(reviews: DataFrame, key: str, min_chars: int = 5, placeholders: Sequence[str] = ()) -> DataFrame:
+def usable_reviews(reviews: DataFrame, key: str, min_chars: int = 0, placeholders: Sequence[str] = ()) -> DataFrame:
     kept = reviews.where(F.col(key).isNotNull() & is_text(F.col("text"), min_chars, placeholders))
     return kept.withColumn("text", strip(F.col("text")))
 
@@ -44,7 +44,7 @@ def review_features(
     lexicon: DataFrame | None = None,
     fraud_words: Sequence[str] = FRAUD_WORDS,
     performance_words: Sequence[str] = PERFORMANCE_WORDS,
-    min_chars: int = 5,
+    min_chars: int = 0,
     placeholders: Sequence[str] = (),
 ) -> DataFrame:
     """One row per product: texts analysed, keyword hits, mean sentiment.
@@ -171,9 +171,16 @@ def attribute_summary(df: DataFrame) -> DataFrame:
     ).orderBy(F.desc("listings"), "cartridge_type")
 
 
-def embedding_input(text: Column, limit: int = 8000) -> Column:
-    """The text handed to an external encoder, cut at its input limit."""
-    return clip_text(text, limit)
+def embedding_pieces(rows: DataFrame, text: str = "text", size: int = 8000) -> DataFrame:
+    """The whole text for an external encoder: rows of at most ``size`` characters each, numbered from 0.
+
+    The pieces of a text, put together, are the stripped text; an empty text has one empty piece, null has none.
+    """
+    whole = strip(F.col(text))
+    last = F.greatest(F.ceil(F.length(whole) / size) - 1, F.lit(0))
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(whole, (i * size + 1).cast("int"), F.lit(size)))
+    others = [c for c in rows.columns if c != text]
+    return rows.where(F.col(text).isNotNull()).select(*others, F.posexplode(pieces).alias("piece_no", text))
 
 
 def parse_vector(json_text: Column, dim: int) -> Column:
@@ -187,7 +194,6 @@ def is_zero_vector(v: Column) -> Column:
     return ~F.exists(v, lambda x: x != 0)
 
 
-# File extensions looked for in an image URL.
 def image_extension(url: Column) -> Column:
     lowered = F.lower(url)
     return F.when(lowered.contains("webp"), "webp").when(lowered.contains("png"), "png").otherwise("jpg")

@@ -37,7 +37,7 @@ def features(inputs: Inputs) -> DataFrame:
     }).drop(*enrich.SELLER_COLUMNS)
     base = essential.essential(named)
     base = dedupe.keep_first(base, ["listing_id"], [F.coalesce("link", F.lit("")), F.coalesce("title", F.lit(""))])
-    read = base.withColumn("_a", text.attributes(csv_text(F.col("title"), 8000), F.col("description"))).select(*base.columns, "_a.*")
+    read = base.withColumn("_a", text.attributes(csv_text(F.col("title")), F.col("description"))).select(*base.columns, "_a.*")
     if inputs.prices is not None:
         read = listing.suggested_price(read, inputs.prices)
     else:

@@ -65,18 +65,21 @@ def seller_nodes(t: Tables):
     return rounded(nodes(t), "suspect_rate")
 
 
-@query("catalog_layer", f"""
-WITH {CATALOG_SQL.strip()}
-SELECT 'pair' AS kind, a.s AS a, b.s AS b, 5.0e0 * count(*) AS weight FROM cat a JOIN cat b ON a.k = b.k AND a.s < b.s JOIN cat_size c ON c.k = a.k AND n <= {HUB} GROUP BY a.s, b.s
-UNION ALL SELECT 'hub', s, k, 5.0e0 FROM cat JOIN cat_size USING (k) WHERE n > {HUB}""")
-def catalog_layer(t: Tables):
-    """Pairs of small groups and memberships of large ones: the whole layer, never expanded."""
-    g = graph.build(nodes(t), [graph.catalog_layer(t.listings())], hub_size=HUB)
-    pairs = g.pairs.select(F.lit("pair").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "weight")
-    if g.hubs is None:
-        return pairs
-    key = F.substring_index("hub", ":", -1).cast("bigint")
-    return pairs.unionByName(g.hubs.select(F.lit("hub").alias("kind"), F.col("seller_id").alias("a"), key.alias("b"), "weight"))
+def _strengths_sql(ctes: str, edges: str) -> str:
+    return f"""
+WITH {ctes.strip()}, e AS ({edges})
+SELECT seller_id, sum(weight) AS total_weight FROM (SELECT src AS seller_id, weight FROM e UNION ALL SELECT dst, weight FROM e) GROUP BY seller_id"""
+
+
+def strengths(g: graph.SellerGraph):
+    """Summed edge weight of every linked seller: the same rows whatever groups are kept as hubs."""
+    ones = g.nodes.select("seller_id", F.lit(1.0).alias("total_weight"))
+    return graph.weighted_sums(g, ones, "total_weight").where("total_weight > 0")
+
+
+@query("catalog_layer", _strengths_sql(CATALOG_SQL, CATALOG_EDGES))
+def catalog_layer(t: Tables, hub_size: int = HUB):
+    return strengths(graph.build(nodes(t), [graph.catalog_layer(t.listings())], hub_size=hub_size))
 
 
 @query("alternative_layer", f"SELECT src, dst, weight FROM ({ALT_EDGES})")
@@ -84,15 +87,35 @@ def alternative_layer(t: Tables):
     return graph.alternative_layer(alternatives(t), nodes(t)).select("src", "dst", "weight")
 
 
-@query("image_layer", f"WITH {IMAGE_SQL.strip()} SELECT src, dst, weight FROM ({IMAGE_EDGES})")
-def image_layer(t: Tables):
-    return image_graph(t).pairs.select("src", "dst", "weight")
+@query("image_layer", _strengths_sql(IMAGE_SQL, IMAGE_EDGES))
+def image_layer(t: Tables, hub_size: int = HUB):
+    return strengths(graph.build(nodes(t), [graph.image_layer(t.images())], hub_size=hub_size))
+
+
+# A picture that every second seller shows, and each tenth vector once more with another seller.
+CROWD_SQL = IMAGE_SQL + """,
+crowd AS (SELECT k, s FROM img UNION SELECT 'crowd', l_suppkey FROM lineitem WHERE l_suppkey % 2 = 0)"""
 
 
-@query("similarity_layer", f"WITH {SIMILAR_SQL.strip()} SELECT least(sa, sb) AS src, greatest(sa, sb) AS dst, 0.5e0 * count(*) AS weight FROM sim WHERE sa <> sb GROUP BY 1, 2")
-def similarity_layer(t: Tables):
-    _, pairs, _ = similarity.similarity_layer(t.vectors(), "text", NEAR, block=64)
-    return pairs.select("src", "dst", "weight")
+@query("crowded_image_layer", _strengths_sql(CROWD_SQL, IMAGE_EDGES.replace("img", "crowd")))
+def crowded_image_layer(t: Tables, hub_size: int = 2):
+    """A picture with more sellers than the hub size beside small groups: no edge may be lost."""
+    crowd = t["lineitem"].where("l_suppkey % 2 = 0").select(F.lit(0).cast("bigint").alias("listing_id"), F.col("l_suppkey").alias("seller_id"), F.lit("crowd").alias("image_hash"))
+    return strengths(graph.build(nodes(t), [graph.image_layer(t.images().unionByName(crowd))], hub_size=hub_size))
+
+
+COPIED_SQL = SIMILAR_SQL.replace(
+    "FROM embeddings)", "FROM embeddings UNION ALL SELECT vec_id + 1000000, (vec_id + 7) % 50, CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id % 10 = 0)")
+COPIED_EDGES = "SELECT least(sa, sb) AS src, greatest(sa, sb) AS dst, 0.5e0 * count(*) AS weight FROM sim WHERE sa <> sb GROUP BY 1, 2"
+
+
+@query("similarity_layer", _strengths_sql(COPIED_SQL, COPIED_EDGES))
+def similarity_layer(t: Tables, hub_size: int = 1):
+    """All three parts of the layer: copied texts, similar texts, and similar texts with crowds of sellers."""
+    rows = t.vectors()
+    rows = rows.unionByName(rows.where("listing_id % 10 = 0").select((F.col("listing_id") + 1000000).alias("listing_id"), ((F.col("seller_id") + 7) % 50).alias("seller_id"), "vec"))
+    same, pairs, wide = similarity.similarity_layer(rows, "text", NEAR, hub_size, block=64)
+    return strengths(graph.build(rows.select("seller_id").distinct(), [same], [pairs], hub_size, [wide]))
 
 
 @query("similarity_counts", f"WITH {SIMILAR_SQL.strip()} SELECT (SELECT count(*) FROM vec) AS valid, (SELECT count(*) FROM sim) AS pairs")
@@ -149,6 +172,17 @@ def full_graph_communities(t: Tables):
     return community.communities(full_graph(t))
 
 
+@query("group_communities", """
+WITH g AS (SELECT c_nationkey AS k, count(*) AS n, min(c_custkey) AS low FROM customer GROUP BY 1),
+numbered AS (SELECT k, row_number() OVER (ORDER BY n DESC, low) - 1 AS community FROM g WHERE n > 1)
+SELECT c_custkey AS seller_id, coalesce(community, -1) AS community FROM customer LEFT JOIN numbered ON k = c_nationkey""")
+def group_communities(t: Tables):
+    """Groups without a link between them, large ones kept as hubs: each is a community, and no community holds two."""
+    people = t["customer"].select(F.col("c_custkey").alias("seller_id"), F.col("c_nationkey").alias("k"), F.lit(1).alias("listings"), F.lit(0).alias("suspects"))
+    g = graph.build(people.drop("k"), [graph.memberships(people, "k", graph.IMAGE, graph.IMAGE_WEIGHT)], hub_size=6)
+    return community.communities(g)
+
+
 @query("community_checks", sql(IMAGE_SQL, "SELECT count(DISTINCT l_suppkey) AS sellers, 1 AS inside_components, 1 AS not_worse_than_components FROM lineitem"))
 def community_checks(t: Tables):
     """Communities cover all sellers, stay inside components and cluster at least as well as those."""
@@ -218,9 +252,16 @@ def path_centrality(t: Tables):
     return rounded(centrality.path_centrality(image_graph(t)), "betweenness", "closeness")
 
 
-@query("sampled_betweenness")
+@query("sampled_betweenness", f"""
+WITH RECURSIVE {IMAGE_SQL.strip()}, {PATHS_SQL.strip()},
+sample AS (SELECT s FROM dist WHERE d = 0 ORDER BY md5(concat(s, ':7')), s LIMIT 20),
+part AS (SELECT x.v AS m, sum(x.sigma * y.sigma / z.sigma) AS b FROM path x JOIN path y ON x.v = y.s JOIN path z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d
+  WHERE x.d > 0 AND y.d > 0 AND x.s IN (SELECT s FROM sample) GROUP BY 1)
+SELECT s AS seller_id, round(coalesce(b, 0) * n / (SELECT count(*) FROM sample) / ((n - 1) * (n - 2)), 6) AS betweenness
+FROM dist LEFT JOIN part ON m = s, n WHERE d = 0 ORDER BY 2 DESC, 1 LIMIT 10""")
 def sampled_betweenness(t: Tables):
-    found = centrality.path_centrality(image_graph(t), k=20, seed=7)
+    """Betweenness from a sample of sources that md5 of id and seed draws; the ten highest."""
+    found = rounded(centrality.path_centrality(image_graph(t), k=20, seed=7), "betweenness")
     return found.select("seller_id", "betweenness").orderBy(F.desc("betweenness"), "seller_id").limit(10)
 
 

@@ -247,6 +247,12 @@ for _name, _ctes, _table, _value, _bins in HISTOGRAMS:
         return rounded(quantiles.histogram(rows, value, bins), "low", "high")
 
 
+@query("community_score_histogram", _histogram_sql(REPORT_SQL + ", one AS (SELECT score FROM report WHERE community = 3)", "one", "score", 20))
+def community_score_histogram(t: Tables):
+    """Scores of the listings of one community."""
+    return rounded(quantiles.histogram(t.report().where("community = 3"), "score", 20), "low", "high")
+
+
 @query("price_boxes", sql(REPORT_SQL, """
 SELECT suspect, count(*) AS n, min(price) AS min, max(price) AS max, round(any_value(q1), 6) AS q1, round(any_value(q2), 6) AS median, round(any_value(q3), 6) AS q3,
   min(price) FILTER (WHERE price >= q1 - 1.5 * (q3 - q1)) AS low_fence, max(price) FILTER (WHERE price <= q3 + 1.5 * (q3 - q1)) AS high_fence

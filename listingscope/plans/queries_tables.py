@@ -8,6 +8,7 @@ from listingscope.functions import columns as C
 from listingscope.functions import listing as L
 from listingscope.functions import text as T
 from listingscope.operators import dedupe, enrich, essential, images, reports, rules
+from listingscope.plans.queries_pages import RECORD
 from listingscope.plans.registry import FEATURES_SQL, LISTINGS_SQL, REPORT_SQL, SCORED_SQL, Tables, query, rounded, sql
 from listingscope.sources import store
 
@@ -17,9 +18,7 @@ BLANK_SQL = C.BLANK
 
 
 @query("csv_export", f"""
-SELECT doc_id, lang, n_chars, source,
-       trim(CASE WHEN length(flat) > 1000 THEN concat(left(flat, 1000), '...') ELSE flat END) AS text
-FROM (SELECT doc_id, lang, n_chars, source, regexp_replace(text, '{BLANK_SQL}+', ' ', 'g') AS flat FROM documents)""")
+SELECT doc_id, lang, n_chars, source, trim(regexp_replace(text, '{BLANK_SQL}+', ' ', 'g')) AS text FROM documents""")
 def csv_export(t: Tables):
     return store.csv_safe(t["documents"])
 
@@ -31,20 +30,26 @@ FROM part LEFT JOIN (SELECT conv_id, count(*) AS n, sum(length(text)) AS chars F
 
 @query("nested_review_listings", NESTED_SQL)
 def nested_review_listings(t: Tables):
-    """Reviews nested under each product, then the flat export twin."""
+    """Every product with the array of its reviews, and what the arrays hold."""
     nested = enrich.nested_reviews(t["part"].select(F.col("p_partkey").alias("product_id")), t.reviews(), "product_id", "product_id",
                                    ["review_no", "text"])
     chars = F.aggregate("all_reviews", F.lit(0).cast("bigint"), lambda s, r: s + F.length(r["text"]))
-    whole = nested.withColumn("chars", chars).groupBy("product_id").agg(F.sum("chars").alias("chars"))
-    return store.flat_twin(nested).join(whole, "product_id").select("product_id", F.col("n_all_reviews").cast("int").alias("n_all_reviews"), "chars")
+    return nested.select("product_id", F.size("all_reviews").alias("n_all_reviews"), chars.alias("chars"))
+
+
+@query("reviews_beside_listings", """
+SELECT p_partkey AS product_id, coalesce(n, 0) AS n_all_reviews, turn AS review_no, text
+FROM part LEFT JOIN conversations ON conv_id = p_partkey LEFT JOIN (SELECT conv_id AS c, count(*) AS n FROM conversations GROUP BY 1) ON c = p_partkey""")
+def reviews_beside_listings(t: Tables):
+    """The same reviews at their own grain, one row each."""
+    return enrich.listing_reviews(t["part"].select(F.col("p_partkey").alias("product_id")), t.reviews(), "product_id", "product_id", ["review_no", "text"])
 
 
 @query("export_summary", """
 SELECT count(*) AS products, count(n) AS with_reviews, count(*) - count(n) AS without_reviews, CAST(coalesce(sum(n), 0) AS BIGINT) AS reviews
 FROM part LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) ON conv_id = p_partkey""")
 def export_summary(t: Tables):
-    nested = enrich.nested_reviews(t["part"].select(F.col("p_partkey").alias("product_id")), t.reviews(), "product_id", "product_id", ["review_no"])
-    return store.export_summary(nested)
+    return store.export_summary(enrich.review_totals(t["part"].select(F.col("p_partkey").alias("product_id")), t.reviews(), "product_id", "product_id"))
 
 
 @query("report_table", sql(SCORED_SQL, """
@@ -101,8 +106,14 @@ def seller_name_fallback(t: Tables):
 @query("rating_fallback", """
 SELECT doc_id, coalesce(CAST(quality AS DOUBLE) + 4, CAST(n_chars % 5 AS DOUBLE)) AS rating FROM documents LEFT JOIN labels USING (doc_id)""")
 def rating_fallback(t: Tables):
+    """Through the projection of raw records: the payload's rate first, then the page's own."""
     joined = t["documents"].select("doc_id", "n_chars").join(t["labels"], "doc_id", "left")
-    return joined.select("doc_id", F.coalesce(F.col("quality").cast("double") + 4, (F.col("n_chars") % 5).cast("double")).alias("rating"))
+    payload = F.when(F.col("quality").isNotNull(), F.named_struct(F.lit("rate"), F.col("quality").cast("double") + 4))
+    record = F.to_json(F.named_struct(
+        F.lit("id"), F.col("doc_id").cast("string"), F.lit("rating_estrelas"), (F.col("n_chars") % 5).cast("double"),
+        F.lit("dados_brutos"), F.named_struct(F.lit("melidata"), F.named_struct(F.lit("reviews"), payload))))
+    rows = joined.select(F.from_json(record, RECORD).alias("r")).select("r.*")
+    return essential.essential(rows).select(F.col("listing_id").cast("bigint").alias("doc_id"), "rating")
 
 
 @query("column_coverage", """
@@ -309,10 +320,12 @@ def image_reuse_bands(t: Tables):
 
 
 @query("download_status", """
-SELECT CASE WHEN n < 5000 THEN 'error' WHEN img THEN 'ok' ELSE 'no url' END AS status, count(*) AS n
-FROM (SELECT length(html) AS n, contains(html, '<img') AS img FROM pages) GROUP BY 1""")
+SELECT CASE WHEN bad THEN 'error' WHEN img THEN 'ok' ELSE 'no url' END AS status, count(*) AS n
+FROM (SELECT NOT contains(html, '</body>') OR NOT starts_with(url, 'https:') AS bad, contains(html, '<a ') AS img FROM pages) GROUP BY 1""")
 def download_status(t: Tables):
-    status = F.when(F.length("html") < 5000, "error").when(F.col("html").contains("<img"), "ok").otherwise("no url")
+    """A page that ends before its body does, or came over an unsafe address, is an error at any length."""
+    broken = ~F.col("html").contains("</body>") | ~F.col("url").startswith("https:")
+    status = F.when(broken, "error").when(F.col("html").contains("<a "), "ok").otherwise("no url")
     return images.download_summary(t["pages"].withColumn("status", status))
 
 

@@ -21,7 +21,7 @@ def _hits(words, text: str = "lower(text)") -> str:
     return " + ".join(f"(length({text}) - length(replace({text}, '{w}', ''))) // {len(w)}" for w in words)
 
 
-TEXTS_SQL = f"texts AS (SELECT conv_id AS product_id, turn, {STRIP} AS text FROM conversations WHERE length({STRIP}) > 5)"
+TEXTS_SQL = f"texts AS (SELECT conv_id AS product_id, turn, {STRIP} AS text FROM conversations WHERE length({STRIP}) > 0)"
 
 
 @query("review_texts", f"WITH {TEXTS_SQL} SELECT product_id, turn AS review_no, text FROM texts")
@@ -111,10 +111,12 @@ def validated_attributes(t: Tables):
     return t["part"].withColumn("a", a).select("p_partkey", "a.cartridge_type", "a.colours.preto", "a.colours.colorido", "a.quantity")
 
 
-@query("embedding_inputs", f"SELECT doc_id, left({STRIP}, 8000) AS text, length(left({STRIP}, 8000)) AS n FROM documents")
+@query("embedding_inputs", f"""
+WITH whole AS (SELECT doc_id, {STRIP} AS whole FROM documents),
+numbered AS (SELECT doc_id, whole, unnest(range(0, greatest(CAST(ceil(length(whole) / 8000.0) AS BIGINT), 1))) AS piece_no FROM whole)
+SELECT doc_id, CAST(piece_no AS INTEGER) AS piece_no, substr(whole, piece_no * 8000 + 1, 8000) AS text FROM numbered""")
 def embedding_inputs(t: Tables):
-    cut_text = T.embedding_input(F.col("text"))
-    return t["documents"].select("doc_id", cut_text.alias("text"), F.length(cut_text).cast("bigint").alias("n"))
+    return T.embedding_pieces(t["documents"].select("doc_id", "text"))
 
 
 @query("parsed_vectors", """
@@ -194,7 +196,7 @@ def merged_pages(t: Tables):
 @query("error_pages", f"""
 SELECT page_id, CAST(contains(lower(url), 'error') OR contains(lower(url), 'not-found') OR contains(lower({TITLE}), 'página não encontrada')
   OR (contains(lower({TITLE}), 'erro') AND contains(lower({TITLE}), '404'))
-  OR (NOT regexp_matches(html, '(?i)<h1[\\s>]|ui-pdp-|andes-card|ui-vip-core|class=["''][^"'']*product') AND length(html) < 5000
+  OR (NOT regexp_matches(html, '(?i)<h1[\\s>]|ui-pdp-|andes-card|ui-vip-core|class=["''][^"'']*product')
       AND regexp_matches(html, '(?i)class=["''][^"'']*(ui-empty-state|not-found-page|error-page)')) AS INTEGER) AS error FROM pages""")
 def error_pages(t: Tables):
     return t["pages"].select("page_id", P.is_error_page(F.col("url"), F.col("html")).cast("int").alias("error"))
@@ -205,12 +207,12 @@ WITH l AS (SELECT page_id, unnest(u) AS url, generate_subscripts(u, 1) - 1 AS pl
   SELECT page_id, regexp_extract_all(html, '(?i)<a[^>]*\\shref=["'']([^"'']*)["'']', 1) AS u FROM pages)),
 c AS (SELECT regexp_extract(url, '/([A-Za-z]+)', 1) AS code, page_id % 5 AS term_no, page_id, place FROM l
   WHERE contains(url, '/') AND NOT contains(lower(url), 'click1') AND NOT contains(lower(url), 'noindex/catalog/reviews')),
-v AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY term_no, page_id, place) AS n FROM c WHERE regexp_matches(code, '^(t|a|e|T|A)') AND length(code) >= 5)
+v AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY term_no, page_id, place) AS n FROM c WHERE code <> '')
 SELECT code, term_no, page_id, place FROM v WHERE n = 1""")
 def result_links(t: Tables):
     """Links of the test pages with their first path word as the code."""
     pages = t["pages"].withColumn("term_no", F.col("page_id") % 5)
-    return P.result_links(pages, "/", "/", ("click1", "noindex/catalog/reviews"), ("t", "a", "e", "T", "A"), 5,
+    return P.result_links(pages, "/", "/", ("click1", "noindex/catalog/reviews"), ("",), 1,
                           code=lambda url: F.nullif(F.regexp_extract(url, "/([A-Za-z]+)", 1), F.lit("")))
 
 

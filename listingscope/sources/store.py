@@ -104,12 +104,12 @@ class ListingStore:
 
 # ---------------------------------------------------------------- exports
 
-def csv_safe(df: DataFrame, limit: int = 1000) -> DataFrame:
-    """Columns in name order, text on one line, nested values as JSON text."""
+def csv_safe(df: DataFrame) -> DataFrame:
+    """Columns in name order, whole text on one line, nested values as JSON text."""
     def cell(name: str):
         kind = df.schema[name].dataType.typeName()
         if kind == "string":
-            return csv_text(F.col(name), limit).alias(name)
+            return csv_text(F.col(name)).alias(name)
         if kind in ("array", "map", "struct"):
             return F.to_json(name).alias(name)
         return F.col(name)
@@ -121,14 +121,10 @@ def write_csv(df: DataFrame, path: str) -> None:
     csv_safe(df).write.option("header", True).option("escape", '"').csv(path)
 
 
-def flat_twin(df: DataFrame, nested: str = "all_reviews") -> DataFrame:
-    """One row per listing without the nested reviews but with how many there are."""
-    return df.where("part = 0").drop(nested, "part")
-
-
 def export_summary(df: DataFrame) -> DataFrame:
+    """Counts over listings with ``n_all_reviews``, one row each."""
     n = F.col("n_all_reviews")
-    return df.where("part = 0").agg(
+    return df.agg(
         F.count(F.lit(1)).alias("products"), F.count(F.when(n > 0, 1)).alias("with_reviews"),
         F.count(F.when(n == 0, 1)).alias("without_reviews"), F.coalesce(F.sum(n), F.lit(0)).alias("reviews"))
 
