@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listingscope.llm import decontaminate, langid, minhash, mixing, queries, sharding
+from listingscope.llm.columns import plain
 from listingscope.session import shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; texts without letters and those with too narrow a margin go. Dictionaries come from the documents' own labels."""
     dicts = langid.dictionaries(docs.select("text", "lang"))
-    return langid.identify(docs, dicts).where("not rejected").select(docs.columns)
+    docs, names, at = plain(docs)
+    return langid.identify(docs, dicts, text=at["text"]).where("not rejected").select(*docs.columns).toDF(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,19 +28,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat an id are one document: the row whose text sorts first stays. Rows without an id stay.
     """
     found = minhash.near_duplicates(docs, words=5, percent=80)
+    docs, names, at = plain(docs)
+    doc_id, text = at["doc_id"], at["text"]
     stay = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_rows"))
-    rows = docs.join(stay, F.col("doc_id") == F.col("_kept"))
+    rows = docs.join(stay, F.col(doc_id) == F.col("_kept"))
     once = rows.where("_rows = 1").select(docs.columns)
-    least = F.min(F.struct("text", *(c for c in docs.columns if c != "text"))).alias("_row")
-    repeated = rows.where("_rows > 1").groupBy("doc_id").agg(least).select(*(F.col(f"_row.{c}").alias(c) for c in docs.columns))
-    return once.unionByName(repeated).unionByName(docs.where("doc_id is null"))
+    least = F.min(F.struct(text, *(c for c in docs.columns if c != text))).alias("_row")
+    repeated = rows.where("_rows > 1").groupBy("_kept").agg(least).select(*(F.col(f"_row.{c}").alias(c) for c in docs.columns))
+    return once.unionByName(repeated).unionByName(docs.where(F.col(doc_id).isNull())).toDF(*names)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which fewer than one word in twenty lies in a window of 13 benchmark words."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where(queries.is_contaminated()).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    docs, names, at = plain(docs)
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns), text=at["text"])
+    return found.where(~queries.is_contaminated()).select(*docs.columns).toDF(*names)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,21 +117,26 @@ def _parts(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple[list, l
         yield ids, texts
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text",
+FOUND = ("n_words", "n_hit", "spans", "items")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), text: str = "text",
                   item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, n_words, n_hit, spans, items) for every row of docs.
+    """The columns ``keep`` and n_words, n_hit, spans, items for every row of docs; a kept column with one of these names is left out.
 
     ``spans`` are the runs of hit words (first word, number of words), ``items`` the benchmark items with an occurring window, ascending and
     each once. A null or wordless text has no words and no hits; a benchmark row without text or words has no window; one without an id marks
-    words and is not named. Equal items share their windows and are all named. Equal documents get equal rows. Extra columns are not read. An
-    empty benchmark hits nothing.
+    words and is not named. Equal items share their windows and are all named. Equal documents get equal rows. Columns that are not kept are not
+    read. An empty benchmark hits nothing. Rows are not joined to anything, so keeping their columns costs no shuffle.
     """
     spark = docs.sparkSession
     wb.bounded_batches(spark)
-    kind, item_kind = docs.schema[key].dataType, benchmark.schema[item].dataType
+    item_kind = benchmark.schema[item].dataType
+    kept = [c for c in keep if c not in FOUND]
+    carried = [T.StructField(f"_c{i}", docs.schema[c].dataType) for i, c in enumerate(kept)]
     span = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("words", T.LongType())]))
     schema = T.StructType([
-        T.StructField("id", kind), T.StructField("t", T.StringType()), T.StructField("n_words", T.LongType()),
+        *carried, T.StructField("t", T.StringType()), T.StructField("n_words", T.LongType()),
         T.StructField("n_hit", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(item_kind))])
 
     def scan(shared):
@@ -143,7 +148,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
         return run
 
     rows = docs.select(
-        F.col(key).alias("id"), F.col(text).alias("t"), F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_hit"),
+        *(F.col(c).alias(f"_c{i}") for i, c in enumerate(kept)), F.col(text).alias("t"), F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_hit"),
         F.array().cast(span).alias("spans"), F.array().cast(T.ArrayType(item_kind)).alias("items"))
     passes = 0
     for ids, texts in _parts(benchmark, item, item_text):
@@ -152,7 +157,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     if not passes:
         rows = rows.mapInArrow(scan(spark.sparkContext.broadcast(([], []))), schema)
     items = F.array_sort(F.array_distinct("items"))
-    return rows.select(F.col("id").alias(key), "n_words", "n_hit", "spans", items.alias("items"))
+    return rows.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(kept)), "n_words", "n_hit", "spans", items.alias("items"))
 
 
 def _marked(part: pa.RecordBatch, ids: list, search: list[WuManber]) -> pa.RecordBatch:
@@ -179,5 +184,5 @@ def _marked(part: pa.RecordBatch, ids: list, search: list[WuManber]) -> pa.Recor
         turns = np.flatnonzero(own[1:] != own[:-1]).reshape(-1, 2)
         spans.append([{"first": int(a), "words": int(b - a)} for a, b in turns])
     return pa.RecordBatch.from_arrays(
-        [part.column("id"), part.column("t"), pa.array(np.diff(w.first)), pa.array(counts), pa.array(spans, part.schema.field("spans").type),
-         pa.array(items, part.schema.field("items").type)], ["id", "t", "n_words", "n_hit", "spans", "items"])
+        [*(part.column(c) for c in part.schema.names if c not in FOUND), pa.array(np.diff(w.first)), pa.array(counts),
+         pa.array(spans, part.schema.field("spans").type), pa.array(items, part.schema.field("items").type)], part.schema.names)

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from listingscope.llm.columns import plain
 from listingscope.session import cut
 
 DEPTH, SIMILAR, MIN_DOCUMENTS = 3, 80, 10
@@ -72,7 +73,8 @@ def drop_recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, si
     text, so equal rows get equal results, and a null key is a key. Columns named n_lines or n_dropped are replaced; a column n_chars is kept as it
     is. An empty table gives an empty table.
     """
-    docs = docs.drop("n_lines", "n_dropped")
+    docs, names, at = plain(docs, ("n_lines", "n_dropped"))
+    key, text = at[key], at[text]
     mark = F.xxhash64(text)
     slim = docs.select(F.col(key).alias("id"), mark.alias("t"), F.col(text).alias("text")).where("text is not null")
     dropped, lines = recurring_forms(slim, min_documents, similar)
@@ -86,7 +88,7 @@ def drop_recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, si
         "n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint")).withColumn(
         "n_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("bigint")).withColumn(
         "n_dropped", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.col("n_dropped")).cast("bigint")).withColumn(
-        text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left)).drop("_t", "_id", "_u", "_gone")
+        text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left)).select(*docs.columns, "n_lines", "n_dropped").toDF(*names, "n_lines", "n_dropped")
 
 
 def recurring_lines_sql(min_documents: int = MIN_DOCUMENTS, similar: int = SIMILAR) -> str:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from listingscope.llm import wordbytes as wb
+from listingscope.llm.columns import plain
 from listingscope.session import cut
 
 BLOCK, SHARD, MOST_PASSES = 128, 8192, 3
@@ -214,27 +215,28 @@ def texts(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str = "t
     document that is taken whole keeps its text. Documents that are not taken have no row. Equal rows are taken each by itself. ``n_chars``, if docs has it, is that of the new text.
     """
     wb.bounded_batches(docs.sparkSession)
-    names = [key, source, "_t"]
-    left = docs.withColumn("_t", F.xxhash64(text)).withColumn("_n", F.row_number().over(Window.partitionBy(*names).orderBy(*docs.columns)))
-    right = mixed.withColumn("_n", F.row_number().over(Window.partitionBy(*names).orderBy("_start"))).where("taken > 0").select(
+    right = mixed.withColumn("_n", F.row_number().over(Window.partitionBy(key, source, "_t").orderBy("_start"))).where("taken > 0").select(
         F.col(key).alias("_k"), F.col(source).alias("_s"), F.col("_t").alias("_h"), F.col("_n").alias("_m"), F.col("pieces").alias("_pieces"))
-    same = F.col(key).eqNullSafe(F.col("_k")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col("_t") == F.col("_h")) & (F.col("_n") == F.col("_m"))
+    docs, names, at = plain(docs)
+    key, text, source, n_chars = at[key], at[text], at[source], at.get(n_chars)
+    left = docs.withColumn("_t", F.xxhash64(text)).withColumn("_n", F.row_number().over(Window.partitionBy(key, source, "_t").orderBy(*docs.columns)))
+    same = F.col(key).eqNullSafe(F.col("_k")) & F.col(source).cast("string").eqNullSafe(F.col("_s")) & (F.col("_t") == F.col("_h")) & (F.col("_n") == F.col("_m"))
     rows = left.join(right, same)
     schema = docs.schema
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, made = [], []
+            places, made = [], []
             for i, (t, own) in enumerate(zip(batch.column(text).to_pylist(), batch.column("_pieces").to_pylist())):
                 for new in _copies(t, own):
-                    at.append(i)
+                    places.append(i)
                     made.append(new)
-            taken = batch.select(schema.names).take(pa.array(at, pa.int64()))
+            taken = batch.select(schema.names).take(pa.array(places, pa.int64()))
             columns = [pa.array(made, pa.string()) if n == text else pa.array([len(m) for m in made], pa.int64()).cast(taken.column(n).type) if n == n_chars else taken.column(n)
                        for n in schema.names]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return rows.select(*docs.columns, "_pieces").mapInArrow(build, schema)
+    return rows.select(*docs.columns, "_pieces").mapInArrow(build, schema).toDF(*names)
 
 
 def _copies(text: str, pieces: list[dict]) -> list[str]:

@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from listingscope.llm.columns import plain
 from listingscope.session import cut
 
 BITS = 60
@@ -63,7 +64,8 @@ def shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str =
     rows have one hash. An empty table gives an empty table. Columns named like the new ones are replaced.
     """
     new = ["n_bytes", "shard", "depth", "shard_bytes", "shard_rows"]
-    rows = docs.drop(*new).withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")).withColumn("_h", row_hash(F.col(key), F.col(text)))
+    docs, kept, at = plain(docs, tuple(new))
+    rows = docs.withColumn("n_bytes", F.coalesce(F.octet_length(at[text]), F.lit(0)).cast("bigint")).withColumn("_h", row_hash(F.col(at[key]), F.col(at[text])))
     out, names = rows, new[1:]
     for i, (depth, cells) in enumerate(directory(rows.select("n_bytes", "_h"), limit)):
         told = cells.select(F.col("cell").alias("_cell"), *(F.col(n).alias(f"_{n}{i}") for n in names))
@@ -71,7 +73,7 @@ def shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str =
         for n in names:
             found = F.col(f"_{n}{i}")
             out = out.withColumn(n, F.coalesce(F.col(n), found) if i else found).drop(f"_{n}{i}")
-    return out.drop("_h")
+    return out.select(*docs.columns, *new).toDF(*kept, *new)
 
 
 def write(sharded: DataFrame, path: str) -> None:
