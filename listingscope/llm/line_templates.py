@@ -22,21 +22,23 @@ from listingscope.session import cut
 DEPTH, SIMILAR, MIN_DOCUMENTS = 3, 80, 10
 FIELD = "<*>"
 _BLANK = "[ \\t\\x0B\\f\\r]+"
-_DIGITS = "[^ \\t\\x0B\\f\\r]*[0-9][^ \\t\\x0B\\f\\r]*"
+_ODD_BLANK = "[\\t\\x0B\\f\\r]|  "
+_DIGITS = "(?<![^ ])[^ 0-9]*[0-9][^ ]*"   # from the start of a token, so every character is looked at once
 
 
 def _masked(line: Column) -> Column:
     """Tokens joined by one blank, those with a digit as FIELD."""
-    return F.trim(F.regexp_replace(F.regexp_replace(line, _BLANK, " "), _DIGITS, FIELD))
+    even = F.when(line.rlike(_ODD_BLANK), F.regexp_replace(line, _BLANK, " ")).otherwise(line)
+    return F.trim(F.when(even.rlike("[0-9]"), F.regexp_replace(even, _DIGITS, FIELD)).otherwise(even))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(id, t, pos, line, n, leaf, form): a row per line that has a token; leaf and form are hashes."""
     each = docs.select("id", "t", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).select("id", "t", "pos", _masked(F.col("raw")).alias("line"))
     each = each.where("line <> ''")
-    lead = F.regexp_extract("line", "^(?:[^ ]+ ?){1,%d}" % DEPTH, 0)
-    return each.withColumn("n", F.length("line") - F.length(F.translate("line", " ", "")) + 1).withColumn(
-        "leaf", F.xxhash64("n", F.rtrim(lead))).withColumn("form", F.xxhash64("line"))
+    blanks = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
+    return each.withColumn("n", blanks + 1).withColumn(
+        "leaf", F.xxhash64("n", F.substring_index("line", " ", DEPTH))).withColumn("form", F.xxhash64("line"))
 
 
 def recurring_forms(docs: DataFrame, min_documents: int, similar: int) -> tuple[DataFrame, DataFrame]:
