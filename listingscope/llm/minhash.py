@@ -34,7 +34,7 @@ from listingscope.session import cut, discard
 COORDINATES, ROWS = 128, 4
 BANDS = COORDINATES // ROWS
 LEAST_EQUAL = 0.6 * COORDINATES
-CHUNK, BLOCK = 64, 512
+CHUNK, BLOCK, GUESTS = 64, 512, 4096
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -151,19 +151,24 @@ def _sizes_fit(na: Column, nb: Column, percent: int) -> Column:
 def _across(reps: DataFrame, crowded: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Seats of documents of different components that share a bucket and may be similar; a pair sits together in one block only.
 
-    A bucket's documents are hosts, each in one block; those outside the largest component are guests of every block.
+    A bucket's documents are hosts, about BLOCK in a block; those outside the largest component are guests of every block. A block with
+    more than about GUESTS guests is repeated, each time with a part of them.
     """
     known = reps.join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
     known = known.select("id", "n_shingles", "sketch", F.coalesce("component", "id").alias("component"))
     dealt = cut(crowded.join(known.select("id", "component"), "id"))
     per_part = dealt.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = per_part.groupBy("bucket").agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("major"))
-    mixed = mixed.where("parts > 1").select("bucket", "major", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("major"))
+    mixed = mixed.where("n > most").select(
+        "bucket", "major", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / GUESTS).cast("int").alias("slots"))
     rows = dealt.join(mixed, "bucket").join(known.drop("component"), "id")
     columns = ["bucket", "block", "role", "band", "id", "component", "n_shingles", "sketch", "major"]
-    hosts = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("role", F.lit(0))
-    guests = rows.where("component <> major").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1))
+    seat = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int") * F.col("slots")
+    hosts = rows.withColumn("block", F.explode(F.sequence(seat, seat + F.col("slots") - 1))).withColumn("role", F.lit(0))
+    slot = F.pmod(F.xxhash64("id", F.lit(1)), F.col("slots")).cast("int")
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b * F.col("slots") + slot)
+    guests = rows.where("component <> major").withColumn("block", F.explode(every)).withColumn("role", F.lit(1))
     laid = hosts.select(*columns).unionByName(guests.select(*columns))
     laid = laid.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "role")
     schema = _seats_schema(reps.schema["id"].dataType, T.LongType())

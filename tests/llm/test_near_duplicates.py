@@ -50,8 +50,11 @@ def corpus(seed=3):
     return [*rows, (n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, rows[3][1]), (n + 4, rows[3][1]), (n + 5, "x " * 50000)]
 
 
-@pytest.mark.parametrize("words", [2, 5])
-def test_components_are_those_of_all_pairs(spark, words):
+@pytest.mark.parametrize("words, small", [(2, True), (5, False)])
+def test_components_are_those_of_all_pairs(spark, monkeypatch, words, small):
+    if small:
+        for name, size in (("CHUNK", 2), ("BLOCK", 3), ("GUESTS", 2)):
+            monkeypatch.setattr(minhash, name, size)
     rows = corpus(words)
     df = spark.createDataFrame([(i, t, "a", "b") for i, t in rows], SCHEMA)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, words=words).collect()}
