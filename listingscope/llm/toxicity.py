@@ -88,7 +88,18 @@ def _sample(labelled: DataFrame) -> DataFrame:
     return labelled.where(drawn <= rate)
 
 
-def learn(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Model:
+def choose(labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> tuple[DataFrame, float | None]:
+    """About LABELLED rows (key, label) per class, chosen by a hash of the key, and the share of label 1 among all; the rows are small enough
+    to broadcast, so the texts they name are found without a shuffle of all texts."""
+    known = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias(label))
+    counts = {r[0]: r[1] for r in known.groupBy(label).agg(F.count(F.lit(1))).collect()}  # two rows
+    drawn = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1 << 40)) / float(1 << 40)
+    rate = F.when(F.col(label) == 1, min(1.0, LABELLED / counts.get(1, 1))).otherwise(min(1.0, LABELLED / counts.get(0, 1)))
+    total = sum(counts.values())
+    return known.where(drawn <= rate), counts.get(1, 0) / total if total else None
+
+
+def learn(labelled: DataFrame, text: str = "text", label: str = "toxic", share_toxic: float | None = None) -> Model:
     """A model from rows with label 0 or 1; rows with a null text or another label teach nothing, and a repeated text teaches once.
 
     With one class only, or none, nothing is learned: every text then gets the score of the known share of toxic rows (0.5 for none).
@@ -97,7 +108,7 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Mode
     known = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
     share = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(share.values())
-    prior = share.get(1, 0) / total if total else 0.5
+    prior = share_toxic if share_toxic is not None else share.get(1, 0) / total if total else 0.5
     flat = Model(np.zeros(1 << FEATURE_BITS, np.float32), np.zeros(1 << FEATURE_BITS, np.float32), 1.0, 0.0, 0.0, math.log((prior + 1e-3) / (1 - prior + 1e-3)))
     if len(share) < 2:
         return flat
