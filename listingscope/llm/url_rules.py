@@ -1,8 +1,9 @@
 """URL filter: pattern rules indexed by their rarest literal token.
 
-A rule is a regular expression over ``host + path`` together with the literal tokens (runs of letters and digits) that every match holds. The
-rules' tokens are counted over all URLs; each rule is filed under the one that fewest URLs hold. A URL's own tokens fetch the candidate rules,
-and only those are run. A rule without a literal token is run on every URL.
+A rule is a regular expression over ``host + path`` together with the literal tokens (runs of letters and digits) that every match holds. Words
+that may stand joined are a token together: around each word lie a few joined forms, of which every match holds one. The tokens are counted over
+all URLs; each rule is filed under the token, or all the forms around the word, that fewest URLs hold. A URL's own tokens fetch the candidate
+rules, and only those are run. A rule without a literal token is run on every URL.
 
 Of the host rules that match, the longest decides; where none does, the URL is blocked if a pattern rule matches, else allowed.
 """
@@ -26,13 +27,24 @@ MOST_RULES = 100_000   # rules travel with the tasks; a longer list is refused
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` runs over the lower-cased host and the path as it is; ``tokens`` are literals of every match, in lower case."""
+    """``pattern`` runs over the lower-cased host and the path as it is; ``tokens`` are literals of every match, in lower case.
+
+    With ``joined``, neighbouring tokens may also stand in a match without a separator, as one token.
+    """
 
     name: str
     pattern: str
     tokens: tuple[str, ...]
     verdict: str
     host_rule: bool = False
+    joined: bool = False
+
+    def covers(self) -> list[tuple[str, ...]]:
+        """Groups of tokens; every match holds at least one token of each group."""
+        if not self.joined:
+            return [(t,) for t in self.tokens]
+        n = len(self.tokens)
+        return [tuple(sorted({"".join(self.tokens[i:j]) for i in range(k + 1) for j in range(k + 1, n + 1)})) for k in range(n)]
 
 
 def host_rule(verdict: str, host: str, path: str) -> Rule:
@@ -43,7 +55,7 @@ def host_rule(verdict: str, host: str, path: str) -> Rule:
 def word_rule(words: str, verdict: str = "block") -> Rule:
     """The words (separated by blanks) stand next to each other in the URL, as whole tokens, with at most one separator between them."""
     tokens = tuple(words.split())
-    return Rule(words, r"(?:^|[^a-z0-9])" + r"[^a-z0-9]?".join(map(re.escape, tokens)) + r"(?:[^a-z0-9]|$)", tokens, verdict)
+    return Rule(words, r"(?:^|[^a-z0-9])" + r"[^a-z0-9]?".join(map(re.escape, tokens)) + r"(?:[^a-z0-9]|$)", tokens, verdict, joined=True)
 
 
 #: The given host rules.
@@ -76,10 +88,10 @@ def _tokens(host: str, path: str) -> set[str]:
 
 
 def index(urls: DataFrame, rules: tuple[Rule, ...], url: str = "url") -> dict[str | None, list[Rule]]:
-    """Rules by their rarest literal token over all URLs; ties go to the token that sorts first."""
+    """Rules by the tokens of their rarest cover over all URLs; ties go to the cover that sorts first."""
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
-    asked = frozenset(t for r in rules for t in r.tokens)
+    asked = frozenset(t for r in rules for cover in r.covers() for t in cover)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, int] = dict.fromkeys(asked, 0)
@@ -93,8 +105,9 @@ def index(urls: DataFrame, rules: tuple[Rule, ...], url: str = "url") -> dict[st
     often = {r.token: r.n for r in counted}
     by_token: dict[str | None, list[Rule]] = {}
     for rule in rules:
-        rarest = min(rule.tokens, key=lambda t: (often.get(t, 0), t), default=None)
-        by_token.setdefault(rarest, []).append(rule)
+        rarest = min(rule.covers(), key=lambda cover: (sum(often.get(t, 0) for t in cover), cover), default=(None,))
+        for token in rarest:
+            by_token.setdefault(token, []).append(rule)
     return by_token
 
 

@@ -83,6 +83,17 @@ def test_candidates_lose_no_rule(spark):
         url_rules.judge(df, url_rules.HOST_RULES + url_rules.HOST_RULES[:1])
 
 
+def test_joined_words_lose_no_rule(spark):
+    urls = ["http://freebets.net/", "https://linkfarm.org", "http://a.org/cheappills/", "http://x.org/paydayloan?q", "http://x.org/free/bets", "http://spamfarms.org/"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_rules.judge(df).collect()}
+    assert got == {i: plain_verdict(u)[1] for i, u in enumerate(urls)} and [got[i] for i in range(6)] == ["block"] * 5 + ["allow"]
+    three = url_rules.word_rule("one two three")
+    forms = [f"http://x.org/one{a}two{b}three" for a in ("", "-") for b in ("", "-")]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([*forms, "http://x.org/one-two/", "http://x.org/onetwothrees"])], "page_id long, url string")
+    assert {r.page_id for r in url_rules.judge(df, (three,)).collect() if r.verdict == "block"} == {0, 1, 2, 3}
+
+
 def test_rules_without_tokens_run_everywhere(spark):
     df = spark.createDataFrame([(1, "http://a.org/--"), (2, "http://a.org/")], "page_id long, url string")
     got = url_rules.judge(df, (url_rules.Rule("dashes", "--", (), "block"),))
