@@ -4,9 +4,11 @@ A page is read as a sequence of text blocks, each with its root-to-leaf path of
 gathers the text length, punctuation, link text and number of its blocks over the whole page. Three ratios of a path, length per block,
 punctuation per block and the share of text outside links, are smoothed along the page with the ratios of neighbouring blocks and fused by
 multiplication. Paths at or above the threshold (the mean less a share of the deviation) are content. The container is the deepest element
-that holds most of their text; every block inside it is kept, but for parts that their tag, role, id or class names as a menu, header, footer,
-sidebar, notice, advert, form or comment. Those parts never take part in the ratios, and where a page has an article or main element, only
-blocks inside one do.
+that holds most of their text; every block inside it is kept, and so is every block of a path that reaches the threshold without its neighbours,
+what lies between these without being mostly links, and the headings before the first of them with what follows them. Parts that their tag, role,
+id or class names as a menu, header, footer, sidebar, notice, advert, form or comment go, and never take part in the ratios; a name, role or form
+does not count on an element that holds most of the page's text outside links, or of the text in its article and main elements: that is a
+wrapper. Where a page has an article or main element, only blocks inside one are read.
 """
 
 from __future__ import annotations
@@ -38,13 +40,19 @@ BOILERPLATE_NAMES = re.compile(
     r"sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|newsletter|subscribe|signup|popup|modal|overlay|login|share|sharing|social|"
     r"related|recommended|comments?|commentlist|replies|respond|disqus|discussion|reviews?|pagination|pager|copyright|legal|disclaimer|skip)(?:$|[\s_-])", re.I)
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+#: Of these, what a form, name or role tells, which a wrapper may bear as well.
+WRAPPER_TAGS = frozenset("form fieldset".split())
+#: Ids and classes of comment parts, which are no wrappers, however long the comments are.
+COMMENT_NAMES = re.compile(r"(?:^|\s)(?:comments?|commentlist|comments?-(?:list|area|section)|replies|respond|disqus(?:_thread)?)(?:$|\s)", re.I)
 CONTENT_TAGS = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"[,.;:!?…、。，]")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"\b(id|class|role|hidden|style|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|$)", re.I) for tag in RAW}
 SPREAD = 0.5     # how far below the mean a path may be, in deviations
+KEPT, NAMED, SKIPPED = range(3)   # what an element's tag, role, id and class say
 HOLDS = 0.6      # share of the content paths' text that the container holds
 
 
@@ -52,7 +60,8 @@ HOLDS = 0.6      # share of the content paths' text that the container holds
 class Block:
     path: tuple[int, ...]      # open elements, by number
     names: tuple[str, ...]     # their tags
-    skipped: bool
+    skipped: bool              # by an element that cannot be a wrapper
+    named: tuple[int, ...]     # open elements that go unless they are wrappers
     content: bool
     text: str
     linked: int
@@ -63,7 +72,7 @@ class _Reader:
 
     def __init__(self, page: str):
         self.page, self.blocks, self.made = page, [], 0
-        self.open: list[tuple[str, int, bool, bool]] = []   # tag, number, skipped, content
+        self.open: list[tuple[str, int, int, bool]] = []   # tag, number, KEPT, NAMED or SKIPPED, content
         self.parts: list[str] = []
         self.linked, self.in_link = 0, 0
 
@@ -106,8 +115,8 @@ class _Reader:
         text = " ".join("".join(self.parts).split())
         if text:
             self.blocks.append(Block(
-                tuple(x[1] for x in self.open), tuple(x[0] for x in self.open), any(x[2] for x in self.open), any(x[3] for x in self.open),
-                text, self.linked))
+                tuple(x[1] for x in self.open), tuple(x[0] for x in self.open), any(x[2] == SKIPPED for x in self.open),
+                tuple(x[1] for x in self.open if x[2] == NAMED), any(x[3] for x in self.open), text, self.linked))
         self.parts, self.linked = [], 0
 
     def start(self, tag: str, attributes: str) -> None:
@@ -123,8 +132,8 @@ class _Reader:
                 return
         if tag in CLOSES_P:
             self.pop_to(("p",), SCOPES)
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self.pop_to(("h1", "h2", "h3", "h4", "h5", "h6"), SCOPES)
+        if tag in HEADINGS:
+            self.pop_to(tuple(HEADINGS), SCOPES)
         if tag in SELF_CLOSING:
             self.pop_to(SELF_CLOSING[tag], SCOPES - {"div"})
         if tag == "body":
@@ -134,25 +143,28 @@ class _Reader:
         self.made += 1
         self.open.append((tag, self.made, self.is_boilerplate(tag, attributes), tag in CONTENT_TAGS))
 
-    def is_boilerplate(self, tag: str, attributes: str) -> bool:
+    def is_boilerplate(self, tag: str, attributes: str) -> int:
         if tag in ("html", "body"):
-            return False
+            return KEPT
         inside = any(x[3] for x in self.open)
-        if tag in BOILERPLATE_TAGS and not (tag == "header" and inside):
-            return True
+        if tag in BOILERPLATE_TAGS and tag not in WRAPPER_TAGS and not (tag == "header" and inside):
+            return SKIPPED
+        found = NAMED if tag in WRAPPER_TAGS else KEPT
         if "=" not in attributes and "hidden" not in attributes:
-            return False
+            return found
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
             if name in ("id", "class") and tag not in CONTENT_TAGS and BOILERPLATE_NAMES.search(value):
                 # An article's own header block holds its heading.
                 if not (inside and re.fullmatch(r"\S*header\S*", value)):
-                    return True
-            elif name == "role" and value in BOILERPLATE_ROLES or name == "aria-hidden" and value == "true":
-                return True
+                    found = max(found, SKIPPED if COMMENT_NAMES.search(value) else NAMED)
+            elif name == "role" and value in BOILERPLATE_ROLES:
+                found = max(found, NAMED)
+            elif name == "aria-hidden" and value == "true":
+                return SKIPPED
             elif name == "hidden" and tag not in CONTENT_TAGS or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        return False
+                return SKIPPED
+        return found
 
     def pop_to(self, tags: tuple[str, ...], scope: frozenset[str]) -> None:
         """Close the nearest open element of ``tags``, unless a scope lies between."""
@@ -183,16 +195,42 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = [b for b in _Reader(page).read() if not b.skipped]
+    wrappers = _wrappers(blocks)
+    blocks = [b for b in blocks if wrappers.issuperset(b.named)]
     if any(b.content for b in blocks):
         blocks = [b for b in blocks if b.content]
     if not blocks:
         return ""
-    container = _container(blocks, _content_paths(blocks))
-    return "\n\n".join(b.text for b in blocks if container is None or container in b.path)
+    paths, own = _content_paths(blocks)
+    container = _container(blocks, paths)
+    if container is None:
+        return "\n\n".join(b.text for b in blocks)
+    sure = [container in b.path or b.names in own for b in blocks]
+    linked = [2 * b.linked > len(b.text) for b in blocks]
+    first, last = sure.index(True), len(sure) - sure[::-1].index(True)
+    for i in range(first - 1, -1, -1):
+        if HEADINGS.intersection(blocks[i].names):
+            first = i
+        elif linked[i]:
+            break
+    return "\n\n".join(
+        b.text for i, b in enumerate(blocks) if sure[i] or first <= i < last and (not linked[i] or HEADINGS.intersection(b.names)))
+
+
+def _wrappers(blocks: list[Block]) -> set[int]:
+    """Elements with a boilerplate name, role or tag that hold over half of the text outside links, or of that in article and main elements."""
+    total, held = [0, 0], {}
+    for b in blocks:
+        plain = max(0, len(b.text) - b.linked)
+        for x, chars in enumerate((plain, plain if b.content else 0)):
+            total[x] += chars
+            for number in b.named:
+                held.setdefault(number, [0, 0])[x] += chars
+    return {n for n, chars in held.items() if any(2 * c > t for c, t in zip(chars, total))}
 
 
-def _content_paths(blocks: list[Block]) -> set[tuple[str, ...]]:
-    """Paths whose fused ratio reaches the threshold."""
+def _content_paths(blocks: list[Block]) -> tuple[set[tuple[str, ...]], set[tuple[str, ...]]]:
+    """Paths whose fused ratio reaches the threshold, and those of them that also do without their neighbours."""
     sums: dict[tuple[str, ...], list[float]] = {}
     for b in blocks:
         s = sums.setdefault(b.names, [0.0, 0.0, 0.0, 0.0])
@@ -214,7 +252,9 @@ def _content_paths(blocks: list[Block]) -> set[tuple[str, ...]]:
     each = [scores[b.names] for b in blocks]
     mean = sum(each) / len(each)
     deviation = math.sqrt(sum((x - mean) ** 2 for x in each) / len(each))
-    return {p for p, x in scores.items() if x >= mean - SPREAD * deviation}
+    least = mean - SPREAD * deviation
+    paths = {p for p, x in scores.items() if x >= least}
+    return paths, {p for p in paths if math.log1p(ratio[p][0] * (ratio[p][1] + 1e-3) * (ratio[p][2] + 1e-3)) >= least}
 
 
 def _container(blocks: list[Block], paths: set[tuple[str, ...]]) -> int | None:

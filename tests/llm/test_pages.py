@@ -34,6 +34,32 @@ def test_pages_without_an_article_use_ratios():
     assert got.startswith("Head\n\nA sentence") and "Link" not in got and got.count("\n\n") == 12 and "short" not in got
 
 
+def _sentences(n, start=0):
+    return "".join(f"<p>A sentence, with some words in it; number {i}. And another one, as long.</p>" for i in range(start, start + n))
+
+
+MENU = "<div><ul>" + "".join(f"<li><a href=/{i}>Link {i}</a>" for i in range(9)) + "</ul></div>"
+
+
+def test_text_outside_the_container_stays():
+    got = html_paths.main_text(f"<body>{MENU}<div id=content><h1>Title</h1><div class=body>{_sentences(6)}</div></div>{MENU}")
+    assert got.startswith("Title\n\nA sentence") and "Link" not in got and got.count("A sentence") == 6
+    got = html_paths.main_text(f"<body>{MENU}<div id=content><div>{_sentences(13)}</div>{MENU}<div>{_sentences(7, 13)}</div></div>{MENU}")
+    assert all(f"number {i}." in got for i in range(20)) and "Link" not in got
+
+
+@pytest.mark.parametrize("attributes", ["class='content with-sidebar'", "class=no-sidebar", "class=has-banner", "class=elementor-widget-container", "role=dialog"])
+def test_wrappers_are_no_boilerplate(attributes):
+    side = "<div class=sidebar><p>Aside, as such.</p></div>"
+    for body in (_sentences(6), f"<article>{_sentences(6)}</article>"):
+        got = html_paths.main_text(f"<body>{MENU}<div {attributes}>{body}{side}</div>{MENU}")
+        assert got.count("A sentence") == 6 and "Aside" not in got and "Link" not in got
+        assert html_paths.main_text(f"<body><form action=/ method=post>{MENU}<div {attributes}>{body}{side}</div></form>") == got
+    talk = "<div id=comments>" + "<p>Reader: I think, I do. And so on, and on, and on.</p>" * 20 + "</div>"
+    got = html_paths.main_text(f"<body><div {attributes}>{_sentences(6)}{talk}</div>")
+    assert got.count("A sentence") == 6 and "Reader" not in got
+
+
 def test_every_row_comes_back(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, "old"), (1, "u", PAGE, "old")], "page_id long, url string, html string, text string")
     got = html_paths.extract(df)
