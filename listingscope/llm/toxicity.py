@@ -1,6 +1,6 @@
 """Toxic passages: maximal-scoring segments over token log-odds, calibrated by extreme values.
 
-Learning. From at most LABELLED documents per class (chosen by a hash of the text) each word gives its features: itself and its first 4, 5 and 6
+Learning. From at most LABELLED different texts per class (chosen by a hash of the text) each word gives its features: itself and its first 4, 5 and 6
 bytes, hashed to 2^FEATURE_BITS cells. A cell counts the documents of either class that hold it. The log-odds ratio of a cell is taken with an
 informative Dirichlet prior: PRIOR documents of either class that hold the cell as often as all documents do. A word scores the log-odds of its
 most significant cell (largest |z| above SIGNIFICANT), or nothing, less DRIFT.
@@ -21,17 +21,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from listingscope.llm import wordbytes as wb
+from listingscope.session import cut, discard
 
 LABELLED = 6000          # labelled documents per class that teach: the bound of the sample
 FEATURE_BITS = 20        # the model is an array of 2^20 numbers, whatever it learned from
 PREFIXES = (4, 5, 6)
 PRIOR, SIGNIFICANT, DRIFT = 20.0, 4.0, 0.1
-PEAK, MOST_RANKS = 1.0, 16   # peaks that are fitted; ranks r that are looked at
+PEAK = 1.0               # peaks that are fitted
 PASSAGE = 0.05
 
 
@@ -80,12 +81,21 @@ def segments(scores: np.ndarray, least: float) -> list[tuple[int, int, float]]:
     return [(a, b, r - left) for a, b, left, r in stack if r - left >= least]
 
 
-def _sample(labelled: DataFrame) -> DataFrame:
-    """(t, y): at most LABELLED texts of each class, chosen by a hash of the text."""
-    counts = {r.y: r.n for r in labelled.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+def _rate(counts: dict[int, int], label: str = "y") -> Column:
+    """Share of each class's rows that keeps about LABELLED of them."""
+    return F.when(F.col(label) == 1, min(1.0, LABELLED / counts.get(1, 1))).otherwise(min(1.0, LABELLED / counts.get(0, 1)))
+
+
+def _majority(ones: Column, n: Column) -> Column:
+    return (2 * ones >= n).cast("int")
+
+
+def _sample(labelled: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """(t, y): about LABELLED different texts of each class at most, chosen by a hash of the text; counts are those of the different texts."""
     drawn = F.pmod(F.xxhash64("t"), F.lit(1 << 40)) / float(1 << 40)
-    rate = F.when(F.col("y") == 1, min(1.0, LABELLED / counts.get(1, 1))).otherwise(min(1.0, LABELLED / counts.get(0, 1)))
-    return labelled.where(drawn <= rate)
+    some = labelled.where(drawn <= max(min(1.0, LABELLED / n) for n in counts.values()))   # by the text alone: all rows of a text come or none
+    texts = some.groupBy(F.xxhash64("t").alias("h"), "t").agg(F.sum("y").alias("ones"), F.count(F.lit(1)).alias("n"))
+    return texts.select("t", _majority(F.col("ones"), F.col("n")).alias("y")).where(drawn <= _rate(counts))
 
 
 def choose(labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> tuple[DataFrame, float | None]:
@@ -94,25 +104,27 @@ def choose(labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> tupl
     known = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias(label))
     counts = {r[0]: r[1] for r in known.groupBy(label).agg(F.count(F.lit(1))).collect()}  # two rows
     drawn = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1 << 40)) / float(1 << 40)
-    rate = F.when(F.col(label) == 1, min(1.0, LABELLED / counts.get(1, 1))).otherwise(min(1.0, LABELLED / counts.get(0, 1)))
     total = sum(counts.values())
-    return known.where(drawn <= rate), counts.get(1, 0) / total if total else None
+    return known.where(drawn <= _rate(counts, label)), counts.get(1, 0) / total if total else None
 
 
 def learn(labelled: DataFrame, text: str = "text", label: str = "toxic", share_toxic: float | None = None) -> Model:
-    """A model from rows with label 0 or 1; rows with a null text or another label teach nothing, and a repeated text teaches once.
+    """A model from rows with label 0 or 1; rows with a null text or another label teach nothing, and a repeated text teaches once, with the
+    label of most of its rows (1 if there are as many of either).
 
     With one class only, or none, nothing is learned: every text then gets the score of the known share of toxic rows (0.5 for none).
     """
     wb.bounded_batches(labelled.sparkSession)
     known = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
-    share = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(share.values())
-    prior = share_toxic if share_toxic is not None else share.get(1, 0) / total if total else 0.5
+    marks = known.groupBy(F.xxhash64("t").alias("h")).agg(F.sum("y").alias("ones"), F.count(F.lit(1)).alias("n"))
+    classes = marks.groupBy(_majority(F.col("ones"), F.col("n")).alias("y")).agg(
+        F.count(F.lit(1)).alias("texts"), F.sum("ones").alias("ones"), F.sum("n").alias("n")).collect()  # two rows
+    total = sum(r.n for r in classes)
+    prior = share_toxic if share_toxic is not None else sum(r.ones for r in classes) / total if total else 0.5
     flat = Model(np.zeros(1 << FEATURE_BITS, np.float32), np.zeros(1 << FEATURE_BITS, np.float32), 1.0, 0.0, 0.0, math.log((prior + 1e-3) / (1 - prior + 1e-3)))
-    if len(share) < 2:
+    if len(classes) < 2:
         return flat
-    sample = _sample(known)
+    sample = cut(_sample(known, {r.y: r.texts for r in classes}))
     counts = np.zeros((2, 1 << FEATURE_BITS))
     n_docs = np.zeros(2)
     for r in sample.mapInArrow(_count, "y int, cell int, n long").groupBy("y", "cell").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -126,7 +138,9 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "toxic", share_t
     ratio = odds[1] - odds[0]
     z = np.where(held > 0, ratio / np.sqrt(1 / (counts[0] + alpha) + 1 / (counts[1] + alpha)), 0.0)
     flat.odds, flat.z = np.where(held > 0, ratio, 0.0).astype(np.float32), z.astype(np.float32)
-    return _calibrate(flat, sample, prior)
+    model = _calibrate(flat, sample, prior)
+    discard(sample)
+    return model
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,18 +167,27 @@ def _calibrate(model: Model, sample: DataFrame, prior: float) -> Model:
         for batch in batches:
             for part in wb.slices(batch, "t"):
                 w = wb.words(part.column("t"), wb.ALPHANUMERIC)
-                best = [sorted((s for _, _, s in own), reverse=True)[:MOST_RANKS] for own in _segments_of(w, model, PEAK)]
+                found = _segments_of(w, model, PEAK)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("y"), pa.array(np.diff(w.first)), pa.array(best, pa.list_(pa.float64()))], ["y", "n", "best"])
+                    [part.column("y"), pa.array(np.diff(w.first)), pa.array([len(own) for own in found], pa.int64()),
+                     pa.array([math.fsum(s - PEAK for _, _, s in own) for own in found], pa.float64())], ["y", "n", "peaks", "excess"])
 
-    rows = sample.mapInArrow(peaks, "y int, n long, best array<double>").toPandas()  # about 2 * LABELLED rows of at most MOST_RANKS numbers
+    rows = sample.mapInArrow(peaks, "y int, n long, peaks long, excess double").toPandas()  # about 2 * LABELLED rows of four numbers
     clean = rows[rows.y == 0]
-    found = np.concatenate([np.asarray(b, float) for b in clean.best] or [np.empty(0)])
+    found = int(clean.peaks.sum())
     # The exponential tail's likelihood has its maximum at 1 / mean excess; one more peak keeps an empty tail finite.
-    model.rate = (len(found) + 1) / ((found - PEAK).sum() + 1.0)
-    model.log_k = math.log((len(found) + 1) / max(1, clean.n.sum())) + model.rate * PEAK
-    x = np.array([_surprise(model, n, b) for n, b in zip(rows.n, rows.best)])
-    y = rows.y.to_numpy()
+    model.rate = (found + 1) / (math.fsum(clean.excess) + 1.0)
+    model.log_k = math.log((found + 1) / max(1, clean.n.sum())) + model.rate * PEAK
+
+    def surprises(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in wb.slices(batch, "t"):
+                w = wb.words(part.column("t"), wb.ALPHANUMERIC)
+                x = [_surprise(model, n, _ranked(own)) for n, own in zip(np.diff(w.first).tolist(), _segments_of(w, model, PEAK))]
+                yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(x, pa.float64())], ["y", "x"])
+
+    rows = sample.mapInArrow(surprises, "y int, x double").toPandas().sort_values(["y", "x"])  # about 2 * LABELLED rows of two numbers
+    x, y = rows.x.to_numpy(), rows.y.to_numpy()
     weight = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum()))
     model.slope, model.base = _logistic(x, y, weight / weight.sum())
     return model
@@ -175,6 +198,10 @@ def _segments_of(w: wb.Words, model: Model, least: float) -> list[list[tuple[int
     return [segments(scores[a:b], least) for a, b in zip(w.first[:-1], w.first[1:])]
 
 
+def _ranked(own: list[tuple[int, int, float]]) -> list[float]:
+    return sorted((s for _, _, s in own), reverse=True)
+
+
 def _surprise(model: Model, n: int, best) -> float:
     """-log of the smallest Poisson tail over the ranks of the segment sums, which descend."""
     most = 0.0
@@ -227,7 +254,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 w = wb.words(part.column("t"), wb.ALPHANUMERIC)
                 surprise, found = [], []
                 for n, own in zip(np.diff(w.first).tolist(), _segments_of(w, m, PEAK)):
-                    surprise.append(_surprise(m, n, sorted((s for _, _, s in own), reverse=True)[:MOST_RANKS]))
+                    surprise.append(_surprise(m, n, _ranked(own)))
                     found.append([{"first": a, "words": b - a, "sum": s} for a, b, s in own if _log_expected(m, n, s) < math.log(PASSAGE)])
                 chance = 1 / (1 + np.exp(-np.clip(m.base + m.slope * np.array(surprise), -40, 40)))
                 yield pa.RecordBatch.from_arrays(

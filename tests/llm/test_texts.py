@@ -108,3 +108,31 @@ def test_toxicity_of_odd_tables(spark):
     for one_sided in (taught.where("toxic = 0"), taught.limit(0)):
         assert {r.score for r in toxicity.score(odd, toxicity.learn(one_sided)).collect()}.pop() <= 0.5
     assert toxicity.score(odd.limit(0), model).count() == 0
+
+
+def test_repeated_texts_teach_once(spark):
+    import numpy as np
+    r = random.Random(4)
+    neutral = ["good", "nice", "fine", "day", "tree", "house", "river", "stone"]
+    rows = [(" ".join(r.choice(neutral) for _ in range(12)) + (" vile scum" if i % 3 == 0 else "") + f" u{i}", int(i % 3 == 0)) for i in range(600)]
+    schema = "text string, toxic int"
+    once = toxicity.learn(spark.createDataFrame(rows + [("moon sky", 0)], schema), share_toxic=0.3)
+    # The copies' label is that of most rows.
+    often = toxicity.learn(spark.createDataFrame(rows + [("moon sky", 0)] * 2000 + [("moon sky", 1)] * 9, schema), share_toxic=0.3)
+    assert np.array_equal(once.odds, often.odds) and np.array_equal(once.z, often.z)
+    assert (once.rate, once.log_k) == (often.rate, often.log_k) and abs(once.slope - often.slope) < 1e-9 and abs(once.base - often.base) < 1e-9
+
+
+def test_all_ranks_count(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from listingscope.llm import wordbytes as wb
+    cell = toxicity._cells(wb.words(pa.array(["vile"]), wb.ALPHANUMERIC))[0, 0]
+    odds, z = np.zeros(1 << toxicity.FEATURE_BITS, np.float32), np.zeros(1 << toxicity.FEATURE_BITS, np.float32)
+    odds[cell], z[cell] = 1.5, 9.0
+    model = toxicity.Model(odds, z, 1.0, -8.0, 1.0, 0.0)
+    text = ("vile" + " calm" * 19 + " ") * 40
+    got = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first().surprise
+    want = toxicity._surprise(model, 800, [float(odds[cell]) - toxicity.DRIFT] * 40)
+    assert abs(got - want) < 1e-3 and want > toxicity._surprise(model, 800, [1.4] * 16) + 1
