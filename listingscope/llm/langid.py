@@ -35,10 +35,12 @@ _LETTER = re.compile(r"[^\W\d_]")
 def dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """A dictionary per language of the labelled rows; rows without text or label teach nothing.
 
-    The sample is chosen by a hash of the text, so it does not depend on ids or order, and its expected size does not depend on the table.
+    The sample is chosen by a hash of the text, so it does not depend on ids or order, and its expected size does not depend on the table. Its rate
+    counts different texts, so copies thin it out nowhere. A labelled language that gets no excerpt is an error.
     """
     known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts = {r.l: r.n for r in known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    different = known.select("l", F.xxhash64("t").alias("h")).distinct()
+    counts = {r.l: r.n for r in different.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
@@ -50,6 +52,8 @@ def dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang") ->
     by_lang: dict[str, list] = {}
     for row in chosen.collect():  # about 1.5 * SAMPLE excerpts a language
         by_lang.setdefault(row.l, []).append((row.u, row.e))
+    if missing := sorted(counts.keys() - by_lang.keys()):
+        raise ValueError(f"no excerpt was drawn for {', '.join(missing)}")
     return {name: "\n".join(e.lower() for _, e in sorted(own)[:SAMPLE]).encode() for name, own in sorted(by_lang.items())}
 
 

@@ -68,6 +68,14 @@ def test_language_of_odd_texts(spark):
     assert langid.dictionaries(taught) == {"x": b"abc def"} and langid.dictionaries(taught.limit(0)) == {}
 
 
+def test_copies_do_not_thin_a_dictionary_out(spark):
+    few = spark.range(10000).selectExpr("concat('few words, text ', id % 20) text", "'x' lang")
+    many = spark.range(1000).selectExpr("concat('many words, text ', id) text", "'y' lang")
+    got = langid.dictionaries(few.unionByName(many))
+    assert sorted(got["x"].decode().split("\n")) == sorted(f"few words, text {i}" for i in range(20))
+    assert len(got["y"].split(b"\n")) == langid.SAMPLE
+
+
 def best_sum(scores):
     return max([0.0] + [sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)])
 
