@@ -51,6 +51,17 @@ def test_stages_in_order_and_by_brute_force(spark):
     assert five.count() == len(rows) and five.where(F.col("shard").isNull() | (F.col("shard_bytes") > sharding.LIMIT)).count() == 0
 
 
+def test_texts_that_share_an_id_are_judged_one_by_one(spark):
+    def text(name, n=40):
+        return " ".join(f"{name}{i}" for i in range(n))
+    rows = [(3, text("c")), (7, text("a")), (7, text("c") + " more"), (7, text("c")), (8, text("a") + " more"), (8, text("b")), (8, text("b")), (9, ""), (9, None), (8, " "),
+            *((5, text(f"u{i}x")) for i in range(20)), (None, text("c"))]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    want = [(3, text("c")), (7, text("a")), (8, text("b")), (9, ""), (9, None), (8, " "), *((5, text(f"u{i}x")) for i in range(20)), (None, text("c"))]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str) and got.columns == docs.columns
+
+
 def test_stages_take_odd_tables(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "the cat and the dog sat on the mat", "en", None, 34),
             (3, "the cat and the dog sat on the mat", "en", "a", 34), (3, "the cat and the dog sat on the mat", "en", "a", 34), (4, "9 9", None, "b", 3)]
