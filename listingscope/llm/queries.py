@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingscope.llm import decontaminate, html_paths, langid, line_templates, minhash, mixing, sharding, topk, toxicity, url_rules
+from listingscope.llm import decontaminate, html_paths, langid, line_templates, merkle, minhash, mixing, sharding, topk, toxicity, url_rules
 
 FOLDS = 5
 
@@ -83,10 +83,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(held_out(), merkle.leaf_digest(*map(F.col, ("doc_id", "source", "lang", "n_chars")), low))
+    found = merkle.manifest(docs, claim=tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_near_duplicates, op2_main_text, op3_contamination, op4_language, op5_mixing, op6_line_templates, op7_top_products, op8_toxicity,
-        op9_url_filter, op10_sharding)}
+        op9_url_filter, op10_sharding, op13_merkle_manifest)}
 
 TOP_PRODUCTS_SQL = """
 WITH vectors AS (
@@ -137,4 +145,5 @@ SQL: dict[str, str] = {
     "op7_top_products": TOP_PRODUCTS_SQL,
     "op9_url_filter": _url_sql(),
     "op10_sharding": sharding.shards_sql(),
+    "op13_merkle_manifest": merkle.manifest_sql(),
 }
