@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingscope.llm import decontaminate, html_paths, langid, line_templates, merkle, minhash, mixing, sharding, topk, toxicity, url_rules
+from listingscope.llm import decontaminate, html_paths, langid, licenses, line_templates, merkle, minhash, mixing, sharding, topk, toxicity, url_rules, whitening
 
 FOLDS = 5
 
@@ -83,6 +83,25 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    own, more = F.transform("places", lambda x: x["label"]), F.transform("blocks", lambda x: x["label"])
+    starts = F.transform("places", lambda x: x["first"])
+    best = F.array_max(F.transform("blocks", lambda x: x["share"]))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(own)), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(own, more)), ",").alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    vectors = rows.where(topk.usable(F.col("embedding"))).select("vec_id", F.col("embedding").alias("vec"))
+    model = whitening.fit(vectors)
+    error = whitening.identity_error(vectors, model)
+    return whitening.whiten(vectors, model).withColumn("identity_error", F.lit(error))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -94,7 +113,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_near_duplicates, op2_main_text, op3_contamination, op4_language, op5_mixing, op6_line_templates, op7_top_products, op8_toxicity,
-        op9_url_filter, op10_sharding, op13_merkle_manifest)}
+        op9_url_filter, op10_sharding, op11_license_scan, op12_whitening, op13_merkle_manifest)}
 
 TOP_PRODUCTS_SQL = """
 WITH vectors AS (
@@ -145,5 +164,6 @@ SQL: dict[str, str] = {
     "op7_top_products": TOP_PRODUCTS_SQL,
     "op9_url_filter": _url_sql(),
     "op10_sharding": sharding.shards_sql(),
+    "op11_license_scan": licenses.scan_sql(),
     "op13_merkle_manifest": merkle.manifest_sql(),
 }
