@@ -55,30 +55,42 @@ def _cells(w: wb.Words) -> np.ndarray:
 
 
 def _word_scores(w: wb.Words, model: Model) -> np.ndarray:
-    cells = _cells(w)
-    z = model.z[cells]
-    best = np.abs(z).argmax(axis=1)
+    """Each different word of the slice is scored once."""
+    _, first, back = np.unique(wb.hashes(w.data, w.starts, w.ends), return_index=True, return_inverse=True)
+    lengths = w.ends[first] - w.starts[first]
+    ends = np.cumsum(lengths)
+    bytes_of = np.repeat(w.starts[first] - (ends - lengths), lengths) + np.arange(lengths.sum())
+    cells = _cells(wb.Words(w.data[bytes_of], ends - lengths, ends, w.first))
+    best = np.abs(model.z[cells]).argmax(axis=1)
     at = cells[np.arange(len(cells)), best]
-    return np.where(np.abs(model.z[at]) > SIGNIFICANT, model.odds[at], 0.0) - DRIFT
+    return (np.where(np.abs(model.z[at]) > SIGNIFICANT, model.odds[at], 0.0) - DRIFT)[back]
 
 
 def segments(scores: np.ndarray, least: float) -> list[tuple[int, int, float]]:
-    """Ruzzo and Tompa: all maximal segments (first, end, sum) with at least the given sum."""
-    stack: list[tuple[int, int, float, float]] = []   # first, end, sum before, sum at end
+    """Ruzzo and Tompa: all maximal segments (first, end, sum) with at least the given sum, in time linear in the number of scores.
+
+    Every candidate keeps a link to the nearest one before it with a smaller left sum, so no search passes a candidate twice.
+    """
+    positive = scores > 0
+    if least > 0 and scores[positive].sum() < least - 1e-6:
+        return []
     sums = np.concatenate(([0.0], np.cumsum(scores)))
-    for i in np.flatnonzero(scores > 0).tolist():   # only these can begin or end a segment
-        left, total = float(sums[i]), float(sums[i + 1])
-        new = (i, i + 1, left, total)
-        while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= new[3]:
-                stack.append(new)
-                break
-            new = (stack[j][0], new[1], stack[j][2], new[3])
-            del stack[j:]
-    return [(a, b, r - left) for a, b, left, r in stack if r - left >= least]
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], positive, [False])).astype(np.int8)))   # a run of positive scores is one candidate
+    firsts, ends, lefts, totals, links = [], [], [], [], []
+    for a, b in edges.reshape(-1, 2).tolist():
+        left, total, j = float(sums[a]), float(sums[b]), len(firsts) - 1
+        while j >= 0 and lefts[j] >= left:
+            j = links[j]
+        while j >= 0 and totals[j] < total:    # it grows back to candidate j, whose left sum and link it takes
+            a, left, below = firsts[j], lefts[j], links[j]
+            del firsts[j:], ends[j:], lefts[j:], totals[j:], links[j:]
+            j = below
+        firsts.append(a)
+        ends.append(b)
+        lefts.append(left)
+        totals.append(total)
+        links.append(j)
+    return [(a, b, total - left) for a, b, left, total in zip(firsts, ends, lefts, totals) if total - left >= least]
 
 
 def _rate(counts: dict[int, int], label: str = "y") -> Column:
@@ -101,7 +113,8 @@ def _sample(labelled: DataFrame, counts: dict[int, int]) -> DataFrame:
 def choose(labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> tuple[DataFrame, float | None]:
     """About LABELLED rows (key, label) per class, chosen by a hash of the key, and the share of label 1 among all; the rows are small enough
     to broadcast, so the texts they name are found without a shuffle of all texts."""
-    known = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias(label))
+    marks = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.sum(F.col(label).cast("int")).alias("ones"), F.count(F.lit(1)).alias("n"))
+    known = marks.select(key, _majority(F.col("ones"), F.col("n")).alias(label))   # a repeated key is one row
     counts = {r[0]: r[1] for r in known.groupBy(label).agg(F.count(F.lit(1))).collect()}  # two rows
     drawn = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1 << 40)) / float(1 << 40)
     total = sum(counts.values())

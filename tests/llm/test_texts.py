@@ -1,11 +1,16 @@
 """Benchmark windows, language and toxicity against plain Python."""
 
+import itertools
 import random
 import re
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from listingscope.llm import decontaminate, langid, toxicity
+from listingscope.llm import wordbytes as wb
 
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -93,6 +98,57 @@ def test_segments_are_maximal():
             assert all(scores[a:i].sum() > 0 for i in range(a + 1, b + 1)) and all(scores[i:b].sum() > 0 for i in range(a, b))
 
 
+def walked_segments(scores):
+    """Ruzzo and Tompa with a walk over all candidates for every score, as the definition says."""
+    sums, stack = [0.0, *itertools.accumulate(scores)], []
+    for i, s in enumerate(scores):
+        new = (i, i + 1, sums[i], sums[i + 1])
+        while s > 0:
+            j = next((j for j in range(len(stack) - 1, -1, -1) if stack[j][2] < new[2]), -1)
+            if j < 0 or stack[j][3] >= new[3]:
+                stack.append(new)
+                break
+            new = (stack[j][0], new[1], stack[j][2], new[3])
+            del stack[j:]
+    return [(a, b, r - left) for a, b, left, r in stack]
+
+
+def test_segments_as_the_walk_finds_them():
+    r = random.Random(5)
+    for n in (1, 7, 60, 400):
+        for _ in range(60):
+            scores = [r.choice((-2.0, -1.0, -0.25, 0.5, 1.0, 3.0)) for _ in range(n)]
+            for least in (0.0, 1.0, 4.0):
+                assert toxicity.segments(np.array(scores), least) == [x for x in walked_segments(scores) if x[2] >= least]
+
+
+def test_segments_take_linear_time():
+    def seconds(n):
+        scores = np.random.default_rng(1).choice((-0.1, -0.4, 0.1, 0.3), size=n, p=(0.5, 0.2, 0.2, 0.1))
+        best = 1e9
+        for _ in range(3):
+            start = time.perf_counter()
+            toxicity.segments(scores, 1.0)
+            best = min(best, time.perf_counter() - start)
+        return best
+    assert seconds(400_000) < 2.3 ** 3 * seconds(50_000)
+
+
+def test_distinct_words_score_as_all_words_do():
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.normal(size=1 << toxicity.FEATURE_BITS), 6 * rng.normal(size=1 << toxicity.FEATURE_BITS), 1.0, 0.0, 1.0, 0.0)
+    w = wb.words(pa.array(["the cat the dog é", None, "dog cats caterpillar the", ""]), wb.ALPHANUMERIC)
+    each = [toxicity._word_scores(wb.words(pa.array([w.data[a:b].tobytes().decode()]), wb.ALPHANUMERIC), model)[0] for a, b in zip(w.starts, w.ends)]
+    assert toxicity._word_scores(w, model).tolist() == each
+    assert len(toxicity._word_scores(wb.words(pa.array(["", None]), wb.ALPHANUMERIC), model)) == 0
+
+
+def test_a_key_that_repeats_in_the_labels_is_chosen_once(spark):
+    labels = spark.createDataFrame([(1, 1)] * 500 + [(1, 0)] + [(2, 0), (3, 1), (3, 0)], "doc_id long, toxic int")
+    chosen, share = toxicity.choose(labels)
+    assert sorted(map(tuple, chosen.collect())) == [(1, 1), (2, 0), (3, 1)] and share == 2 / 3
+
+
 def test_toxicity_of_held_out_texts(spark):
     from listingscope.llm.queries import op8_toxicity
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
