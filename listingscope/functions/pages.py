@@ -1,7 +1,8 @@
 """Stored product and review pages to listing and review columns.
 
 Everything is a column expression over ``html``, so a page table of any size is
-one narrow scan. Tag matching is by pattern and ignores layout.
+one narrow scan. Flat values are matched by pattern; what may hold nested tags
+(descriptions, reviews, summaries) is read from the page's elements.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from listingscope.functions import elements as E
 from listingscope.functions.urls import SITE_PREFIXES, SKIPPED_LINKS, first_match, product_code
 from listingscope.operators.dedupe import keep_first
 
@@ -191,15 +193,18 @@ def sold_quantity(text: Column, patterns: Sequence[str] = SOLD_PATTERNS) -> Colu
 
 
 # Where a description may stand, in order of preference.
-DESCRIPTION_CLASSES = ("ui-pdp-description__content", "ui-pdp-description", "description")
+DESCRIPTION_PLACES = (
+    E.of_class("ui-pdp-description__content"), E.with_attribute("data-testid", "content"), E.of_class("ui-pdp-description"), E.of_class("description"),
+    E.class_holds("description"))
 
 
 def description(html: Column) -> Column:
-    return F.coalesce(*[text_of_class(html, c) for c in DESCRIPTION_CLASSES], F.lit(""))
+    """Text of the first place that has any; of several elements in one place the first counts."""
+    return E.let(E.nodes(html), lambda nodes: F.coalesce(*[E.first_text(nodes, place) for place in DESCRIPTION_PLACES], F.lit("")))
 
 
 def breadcrumb(html: Column) -> Column:
-    return text_of_class(html, "ui-search-breadcrumb")
+    return E.first_text(E.nodes(html), E.of_class("ui-search-breadcrumb"))
 
 
 # Marks of an error page and of a product page.
@@ -226,22 +231,28 @@ def is_error_page(url: Column, html: Column) -> Column:
     return F.coalesce(clear | bare, F.lit(False))
 
 
+LIKE_BUTTON = E.with_attribute("data-testid", "like-button", "button")
+HIDDEN_TEXT = E.of_class("andes-visually-hidden", "p")
+
+
 def review_rows(pages: DataFrame) -> DataFrame:
-    """One row per review of a stored page, stamped with the page's product."""
-    articles = F.regexp_extract_all(
-        F.col("html"), F.lit(r"(?is)<article[^>]*review-capability-comments__comment[^>]*>(.*?)</article>"), F.lit(1))
+    """One row per review of a stored page, stamped with the page's product.
+
+    Texts are whole, whatever tags they hold. A review without text says so, one without likes has 0.
+    """
+    articles = E.parts(E.nodes(F.col("html")), E.of_class("ui-review-capability-comments__comment", "article"))
     rows = pages.select("product_id", "title", "url", F.posexplode(articles).alias("_pos", "_r"))
     r = F.col("_r")
-    images = F.regexp_extract_all(r, F.lit(r"""(?is)<img[^>]*carousel-mobile__img[^>]*src=["']([^"']+)["']"""), F.lit(1))
-    like_box = F.regexp_extract(r, r"""(?is)<button[^>]*data-testid=["']like-button["'][^>]*>(.*?)</button>""", 1)
-    last_number = F.try_element_at(F.regexp_extract_all(like_box, F.lit(r"(?is)<p[^>]*>\s*(\d+)\s*</p>"), F.lit(1)), F.lit(-1))
+    sources = F.transform(F.filter(r, E.class_holds("carousel-mobile__img")), lambda x: E.attribute(x, "src"))
+    images = F.filter(sources, lambda s: F.coalesce(s, F.lit("")) != "")
+    likes = E.text_of(F.try_element_at(E.parts(E.first_part(r, LIKE_BUTTON), E.of_tag("p")), F.lit(-1)))
     return rows.select(
         "product_id", "title", "url",
         (F.col("_pos") + 1).alias("review_no"),
-        F.regexp_extract(F.coalesce(text_of_class(r, "andes-visually-hidden"), F.lit("")), r"(\d+)", 1).try_cast("int").alias("rating"),
-        text_of_class(r, "ui-review-capability-comments__comment__date").alias("date"),
-        F.coalesce(text_of_class(r, "ui-review-capability-comments__comment__content"), F.lit("Sem texto.")).alias("text"),
-        F.coalesce(last_number.try_cast("int"), F.lit(0)).alias("likes"),
+        F.regexp_extract(F.coalesce(E.first_text(r, HIDDEN_TEXT), F.lit("")), r"(\d+)", 1).try_cast("int").alias("rating"),
+        E.first_text(r, E.of_class("ui-review-capability-comments__comment__date")).alias("date"),
+        F.coalesce(E.first_text(r, E.of_class("ui-review-capability-comments__comment__content")), F.lit("Sem texto.")).alias("text"),
+        F.coalesce(likes.try_cast("int"), F.lit(0)).alias("likes"),
         images.alias("images"),
         F.size(images).alias("image_count"),
         (F.size(images) > 0).alias("has_images"),
@@ -277,17 +288,20 @@ def result_links(
 
 def review_page_summary(html: Column) -> Column:
     """struct(average_rating, total_reviews, summary, likes, available, characteristics)."""
-    average = text_of_class(html, "ui-review-capability__rating__average").try_cast("double")
-    label = F.coalesce(text_of_class(html, "ui-review-capability__rating__label"), F.lit(""))
-    box = F.regexp_extract(html, r"""(?is)<div[^>]*data-testid=["']summary-component["'][^>]*>(.*?)</div>""", 1)
-    summary = text_of_class(box, "ui-review-capability__summary__plain_text__summary_container")
-    like_box = F.regexp_extract(box, r"""(?is)<button[^>]*data-testid=["']like-button["'][^>]*>(.*?)</button>""", 1)
-    likes = inner_text(like_box).try_cast("int")
+    return E.let(E.nodes(html), _review_summary)
+
+
+def _review_summary(nodes: Column) -> Column:
+    average = E.first_text(nodes, E.of_class("ui-review-capability__rating__average")).try_cast("double")
+    label = F.coalesce(E.first_text(nodes, E.of_class("ui-review-capability__rating__label")), F.lit(""))
+    box = E.first_part(nodes, E.with_attribute("data-testid", "summary-component", "div"))
+    summary = E.first_text(box, E.of_class("ui-review-capability__summary__plain_text__summary_container", "p"))
+    likes = E.first_text(E.first_part(box, LIKE_BUTTON), E.of_tag("p")).try_cast("int")
     complete = summary.isNotNull() & likes.isNotNull()
-    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*categories__mobile--row[^>]*>(.*?)</tr>"), F.lit(1))
+    rows = E.parts(nodes, lambda x: (x["tag"] == "tr") & E.class_holds("categories__mobile--row")(x))
     rated = F.transform(rows, lambda r: F.struct(
-        inner_text(F.regexp_extract(r, r"(?is)<td[^>]*>(.*?)</td>", 1)).alias("name"),
-        F.regexp_extract(F.coalesce(text_of_class(r, "andes-visually-hidden"), F.lit("")), r"(\d+\.?\d*)", 1).try_cast("double").alias("value"),
+        E.first_text(r, E.of_tag("td")).alias("name"),
+        F.regexp_extract(F.coalesce(E.first_text(r, HIDDEN_TEXT), F.lit("")), r"(\d+\.?\d*)", 1).try_cast("double").alias("value"),
     ))
     return F.struct(
         average.alias("average_rating"),
@@ -295,6 +309,5 @@ def review_page_summary(html: Column) -> Column:
         F.when(complete, summary).alias("summary"),
         F.when(complete, likes).otherwise(0).alias("likes"),
         complete.alias("available"),
-        spec_map(F.filter(rated, lambda x: x["value"].isNotNull())).alias("characteristics"),
+        E.let(F.filter(rated, lambda x: x["name"].isNotNull() & x["value"].isNotNull()), spec_map).alias("characteristics"),
     )
-

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from listingscope.functions import elements as E
 from listingscope.functions import pages as P
 from listingscope.operators import essential
 from listingscope.plans.registry import Tables, query
@@ -113,3 +114,82 @@ def page_reviews(t: Tables):
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", article.alias("a")))), lambda x: x["a"]), "\n").alias("html"))
     rows = P.review_rows(pages.withColumns({"title": F.lit(""), "url": F.lit("")}))
     return rows.select("product_id", "review_no", "rating", "likes", "text", "has_images")
+
+
+# ---------------------------------------------------------------- nested pages, read by their elements
+
+def _tidy(text):
+    """Table text that can stand in a page as it is."""
+    return F.trim(F.regexp_replace(F.translate(text, "<>&", ""), r"[ \t\n\x0B\f\r]+", " "))
+
+
+TIDY = "trim(regexp_replace(translate({}, '<>&', ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+
+
+@query("nested_descriptions", """
+SELECT p_partkey AS page_id, CASE WHEN p_size % 4 = 3 THEN '' WHEN p_size % 4 = 2 THEN concat('Code ', p_partkey) ELSE concat(p_name, ' ', p_brand, p_type, ' R$ ', p_size) END AS description,
+  CASE WHEN p_size % 3 > 0 THEN concat(p_brand, ' ', p_type, ' ', p_size) END AS category FROM part""")
+def nested_descriptions(t: Tables):
+    """Descriptions in nested, unclosed and empty elements under four of the places where one may stand; categories as nested lists."""
+    size, key = F.col("p_size"), F.col("p_partkey").cast("string")
+    body = F.concat(F.lit("<div><p>"), "p_name", F.lit("<p><b>"), "p_brand", F.lit("</b><i>"), "p_type", F.lit("</i><div>R$&nbsp;"), size.cast("string"), F.lit("</div>"))
+    box = F.when(size % 4 == 0, F.concat(F.lit('<div class="x ui-pdp-description__content">'), body, F.lit("</div></div>"))).when(
+        size % 4 == 1, F.concat(F.lit('<div class="ui-pdp-description__content"> <div></div></div><section data-testid=content>'), body, F.lit("</section>"))).when(
+        size % 4 == 2, F.concat(F.lit('<span class="seo-description-box">Code <div>'), key, F.lit("</div></span>"))).otherwise("")
+    trail = F.when(size % 3 > 0, F.concat(F.lit('<nav class="ui-search-breadcrumb"><ol><li><a href="/">'), "p_brand", F.lit("</a><li>"), "p_type", F.lit("<ul><li>"), size.cast("string"),
+                                          F.lit("</ul></ol>"))).otherwise("")
+    page = F.concat(F.lit("<html><body>"), trail, F.lit("</nav><main>"), box, F.lit("</main><footer>after</footer>"))
+    pages = t["part"].select(F.col("p_partkey").alias("page_id"), page.alias("html"))
+    return pages.select("page_id", P.description(F.col("html")).alias("description"), P.breadcrumb(F.col("html")).alias("category"))
+
+
+@query("nested_reviews", f"""
+SELECT conv_id AS product_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS review_no, turn % 5 + 1 AS rating, concat('day ', turn) AS date,
+  CASE WHEN {TIDY.format('text')} = '' THEN concat('turn ', turn) ELSE concat({TIDY.format('text')}, ' turn ', turn) END AS text, turn AS likes, turn % 4 AS image_count,
+  CASE WHEN turn % 4 > 0 THEN concat(turn, '-1.jpg') END AS first_image FROM conversations WHERE text IS NOT NULL""")
+def nested_reviews(t: Tables):
+    """Review pages whose texts, dates, likes and images stand in elements inside elements of the same name."""
+    turn = F.col("turn").cast("string")
+    images = F.array_join(F.transform(F.sequence(F.lit(0), F.col("turn") % 4), lambda i: F.when(i > 0, F.concat(
+        F.lit('<div><img class="ui-review-capability-carousel-mobile__img" src="'), turn, F.lit("-"), i.cast("string"), F.lit('.jpg"></div>'))).otherwise("")), "")
+    article = F.concat(
+        F.lit('<article class="ui-review-capability-comments__comment"><div><p class="andes-visually-hidden">Nota '), (F.col("turn") % 5 + 1).cast("string"),
+        F.lit(' de 5</p><span class="ui-review-capability-comments__comment__date"><span>day</span> '), turn,
+        F.lit('</span></div><div class="ui-review-capability-comments__comment__content"><div>'), _tidy(F.col("text")), F.lit("</div><div>turn <div>"), turn,
+        F.lit("</div></div></div>"), images, F.lit('<button data-testid="like-button"><p>likes</p><div><p><span>'), turn, F.lit("</span></p></div></button></article>"))
+    pages = t["conversations"].where(F.col("text").isNotNull()).groupBy(F.col("conv_id").alias("product_id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", article.alias("a")))), lambda x: x["a"]), "\n").alias("html"))
+    rows = P.review_rows(pages.withColumns({"title": F.lit(""), "url": F.lit("")}))
+    return rows.select("product_id", "review_no", "rating", "date", "text", "likes", "image_count", F.try_element_at("images", F.lit(1)).alias("first_image"))
+
+
+@query("review_summaries", """
+SELECT p_partkey AS page_id, p_size / 10 AS average_rating, p_size AS total_reviews, CASE WHEN p_size % 3 > 0 THEN concat(p_name, ' ', p_brand) END AS summary,
+  CASE WHEN p_size % 3 > 0 THEN p_size ELSE 0 END AS likes, p_size % 3 > 0 AS available, p_size % 6 AS n_characteristics, CASE WHEN p_size % 6 > 0 THEN p_size / 10 END AS first_value FROM part""")
+def review_summaries(t: Tables):
+    """Rating, summary and characteristics of review pages; without its like button a summary does not count."""
+    size = F.col("p_size")
+    text = size.cast("string")
+    value = (size / 10).cast("string")
+    button = F.when(size % 3 > 0, F.concat(F.lit('<div><button data-testid="like-button"><div><p><b>'), text, F.lit("</b></p></div></button></div>"))).otherwise("")
+    rows = F.array_join(F.transform(F.sequence(F.lit(0), size % 6), lambda i: F.when(i > 0, F.concat(
+        F.lit('<tr class="ui-review-capability-categories__mobile--row"><td><div>Kind <div>'), i.cast("string"), F.lit('</div></div><td><table><tr><td><p class="andes-visually-hidden">Nota '),
+        value, F.lit(" de 5</p></table>"))).otherwise("")), "")
+    page = F.concat(
+        F.lit('<div class="ui-review-capability__rating__average"><span>'), value, F.lit('</span></div><p class="ui-review-capability__rating__label"><b>'), text, F.lit("</b> notas"),
+        F.lit('<div data-testid="summary-component"><div><p class="ui-review-capability__summary__plain_text__summary_container">'), "p_name", F.lit(" <span><span>"), "p_brand",
+        F.lit("</span></span></p></div>"), button, F.lit("</div><table>"), rows, F.lit("</table>"))
+    found = t["part"].select(F.col("p_partkey").alias("page_id"), P.review_page_summary(page).alias("s"))
+    marks = F.col("s.characteristics")
+    return found.select("page_id", "s.average_rating", "s.total_reviews", "s.summary", "s.likes", "s.available", F.size(marks).alias("n_characteristics"),
+                        F.try_element_at(marks, F.lit("Kind 1")).alias("first_value"))
+
+
+@query("page_elements", r"""
+WITH bare AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<(script|style)\b.*?</(script|style)>', '', 'g') AS h FROM pages),
+tags AS (SELECT page_id, lower(unnest(regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM bare)
+SELECT page_id, tag, count(*) AS n FROM tags GROUP BY page_id, tag""")
+def page_elements(t: Tables):
+    """How many elements of every tag the given pages hold."""
+    found = E.element_table(t["pages"]).where(~F.col("tag").startswith("#") & ~F.col("tag").isin("script", "style"))
+    return found.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))

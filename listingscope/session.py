@@ -44,6 +44,12 @@ def shared_folder(spark: SparkSession) -> str:
     return shared
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Batches for Python workers stay small in bytes as well as rows: whole pages and texts are long."""
+    for key, value in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+
+
 _WRITTEN: dict[int, tuple[SparkSession, dict[str, None]]] = {}
 
 
