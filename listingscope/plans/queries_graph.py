@@ -118,6 +118,15 @@ def similarity_layer(t: Tables, hub_size: int = 1):
     return strengths(graph.build(rows.select("seller_id").distinct(), [same], [pairs], hub_size, [wide]))
 
 
+@query("similar_pairs_hashed", f"""
+WITH {SIMILAR_SQL.strip()}, one AS (SELECT e, min(vec_id) AS v FROM vec GROUP BY e)
+SELECT least(a.v, b.v) AS a, greatest(a.v, b.v) AS b FROM one a JOIN one b ON a.v < b.v AND list_cosine_similarity(a.e, b.e) > {NEAR}""")
+def similar_pairs_hashed(t: Tables):
+    """The hashed join at a recall that leaves no pair out: every pair of the exact answer, and no other."""
+    units, _ = similarity.distinct_vectors(t.vectors())
+    return similarity.similar_vectors(units, NEAR, block=64, recall=1 - 1e-9)
+
+
 @query("similarity_counts", f"WITH {SIMILAR_SQL.strip()} SELECT (SELECT count(*) FROM vec) AS valid, (SELECT count(*) FROM sim) AS pairs")
 def similarity_counts(t: Tables):
     return similarity.similarity_counts(t.vectors(), NEAR)
