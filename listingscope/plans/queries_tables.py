@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from listingscope.functions import columns as C
@@ -10,7 +12,9 @@ from listingscope.functions import text as T
 from listingscope.operators import dedupe, enrich, essential, images, reports, rules
 from listingscope.plans.queries_pages import RECORD
 from listingscope.plans.registry import FEATURES_SQL, LISTINGS_SQL, REPORT_SQL, SCORED_SQL, Tables, query, rounded, sql
+from listingscope.session import shared_folder
 from listingscope.sources import store
+from listingscope.streaming import reuse
 
 # ---------------------------------------------------------------- exports and the report table
 
@@ -475,3 +479,43 @@ SELECT p_partkey, array_to_string(list_transform(string_split(concat(lower(p_typ
 def flag_titles(t: Tables):
     name = F.concat(F.lit("flag_"), F.lower("p_type"), F.lit("_"), F.replace("p_name", F.lit(" "), F.lit("_")))
     return t["part"].select("p_partkey", rules.flag_title(name).alias("label"))
+
+
+# ---------------------------------------------------------------- stream
+
+@query("streamed_reuse", sql("""
+shown AS (
+  SELECT l_orderkey AS listing_id, l_shipdate AS t,
+    CASE WHEN l_returnflag = 'A' AND l_discount = 0 THEN 'ERRO' ELSE concat(l_partkey, '-', CAST(l_quantity AS INTEGER) % 5) END AS image FROM lineitem WHERE l_shipdate IS NOT NULL),
+last AS (SELECT listing_id, image AS image_hash FROM shown QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY t DESC, image DESC) = 1)""",
+    "SELECT listing_id, image_hash, CASE WHEN image_hash = 'ERRO' THEN 0 ELSE count(*) OVER (PARTITION BY image_hash) END AS image_reuse FROM last"))
+def streamed_reuse(t: Tables):
+    """Order lines arrive in three batches as the changing images of their order; an order counts for its newest image only."""
+    failed = (F.col("l_returnflag") == "A") & (F.col("l_discount") == 0)
+    rows = t["lineitem"].select(
+        F.col("l_orderkey").alias("listing_id"), F.col("l_shipdate").cast("timestamp").alias("event_time"),
+        F.when(failed, "ERRO").otherwise(F.concat_ws("-", "l_partkey", F.col("l_quantity").cast("int") % 5)).alias("image_hash"), (F.col("l_linenumber") % 3).alias("part"))
+    folder = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    for part in range(3):
+        slim = rows.where(F.col("part") == part).drop("part")
+        slim.write.mode("append").parquet(f"{folder}/in")
+        arriving = t.spark.readStream.schema(slim.schema).parquet(f"{folder}/in")
+        reuse.start(t.spark, arriving, f"{folder}/out", lambda scored: scored, f"{folder}/check").awaitTermination()
+    return reuse.scored_table(t.spark, f"{folder}/out").read().select("listing_id", "image_hash", "image_reuse")
+
+
+@query("stored_upserts", """
+SELECT o_orderkey AS listing_id, CASE WHEN o_orderkey % 5 = 0 THEN 'late' WHEN o_orderkey % 3 = 0 THEN 'second' ELSE o_orderstatus END AS state,
+  CASE WHEN o_orderkey % 5 = 0 THEN 3 WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS ingested_at FROM orders""")
+def stored_upserts(t: Tables):
+    """Orders written as a table, replaced in part, folded into a new base, replaced again and read; a batch that comes twice changes nothing."""
+    key = F.col("o_orderkey")
+    rows = t["orders"].select(key.alias("listing_id"), F.col("o_orderstatus").alias("state"), F.lit(1).alias("ingested_at"))
+    table = store.ListingStore(t.spark, f"{shared_folder(t.spark)}/table-{uuid.uuid4().hex}")
+    table.upsert(rows, "a")
+    second = rows.where("listing_id % 3 = 0").withColumns({"state": F.lit("second"), "ingested_at": F.lit(2)})
+    table.upsert(second.unionByName(second.withColumns({"state": F.lit("older"), "ingested_at": F.lit(0)})), "b")
+    table.compact()
+    for _ in range(2):
+        table.upsert(rows.where("listing_id % 5 = 0").withColumns({"state": F.lit("late"), "ingested_at": F.lit(3)}), "c")
+    return table.read()
