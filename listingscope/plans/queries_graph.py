@@ -261,6 +261,14 @@ def path_centrality(t: Tables):
     return rounded(centrality.path_centrality(image_graph(t)), "betweenness", "closeness")
 
 
+@query("sketched_closeness", f"""
+WITH RECURSIVE {IMAGE_SQL.strip()}, {PATHS_SQL.strip()}
+SELECT s AS seller_id, round((count(*) - 1) * 1e0 / sum(d) * (count(*) - 1) / (any_value(n) - 1), 6) AS closeness FROM dist, n GROUP BY s""")
+def sketched_closeness(t: Tables):
+    """Closeness from sketches that are exact for as few sellers as the test tables have."""
+    return rounded(centrality.sketched_closeness(image_graph(t), lg=16), "closeness")
+
+
 @query("sampled_betweenness", f"""
 WITH RECURSIVE {IMAGE_SQL.strip()}, {PATHS_SQL.strip()},
 sample AS (SELECT s FROM dist WHERE d = 0 ORDER BY md5(concat(s, ':7')), s LIMIT 20),
