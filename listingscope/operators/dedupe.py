@@ -30,7 +30,7 @@ def _keep(df: DataFrame, keys: Sequence[str], order: Sequence, pick) -> DataFram
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """First row of each key in ``order``; rows without a key are dropped.
 
-    Whole rows are carried: select the columns wanted before the call.
+    ``order`` should be total inside a key: of rows it leaves equal, any may stay. Whole rows are carried: select the columns wanted before the call.
     """
     return _keep(df, keys, order, F.min_by)
 

@@ -30,8 +30,8 @@ def seller_name(name: Column, seller_id: Column) -> Column:
     return F.coalesce(F.nullif(name, F.lit("")), made_up, F.lit("Vendedor_Desconhecido"))
 
 
-def essential(listings: DataFrame) -> DataFrame:
-    """One projection: renames, nested fields, defaults; blanks become null."""
+def essential(listings: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """One projection: renames, nested fields, defaults; blanks become null. Columns named in ``extra`` stay as they are."""
     data = "dados_brutos.melidata"
     text = {
         "listing_id": "id", "catalog_id": f"{data}.catalog_product_id", "link": "link", "title": "titulo",
@@ -50,6 +50,7 @@ def essential(listings: DataFrame) -> DataFrame:
         F.col("distribuicao_estrelas").alias("star_counts"),
         alternative_sellers(F.col(f"{data}.alternative_buying_options")).alias("alt_sellers"),
         ship_origin(F.col(f"{data}.shipping_promise.address_options")).alias("ship_origin"),
+        *extra,
     )
 
 

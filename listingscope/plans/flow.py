@@ -35,8 +35,11 @@ def features(inputs: Inputs) -> DataFrame:
         "vendedor_nome": F.coalesce("nickname", "vendedor_nome"),
         "vendedor_total_transacoes": F.coalesce("transactions", "vendedor_total_transacoes"),
     }).drop(*enrich.SELLER_COLUMNS)
-    base = essential.essential(named)
-    base = dedupe.keep_first(base, ["listing_id"], [F.coalesce("link", F.lit("")), F.coalesce("title", F.lit(""))])
+    # The first record of an id wins, in source order where the reader kept it.
+    place = [c for c in ("source_order",) if c in named.columns]
+    base = essential.essential(named, place)
+    order = place or [F.coalesce("link", F.lit("")), F.coalesce("title", F.lit("")), F.to_json(F.struct("*"))]
+    base = dedupe.keep_first(base, ["listing_id"], order).drop(*place)
     read = base.withColumn("_a", text.attributes(csv_text(F.col("title")), F.col("description"))).select(*base.columns, "_a.*")
     if inputs.prices is not None:
         read = listing.suggested_price(read, inputs.prices)

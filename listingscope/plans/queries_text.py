@@ -8,7 +8,7 @@ from listingscope.functions import columns as C
 from listingscope.functions import pages as P
 from listingscope.functions import text as T
 from listingscope.functions import urls as U
-from listingscope.operators import enrich
+from listingscope.operators import enrich, keywords
 from listingscope.plans.registry import Tables, query, rounded
 
 STRIP = f"regexp_replace(text, '^{C.BLANK}+|{C.BLANK}+$', '', 'g')"
@@ -43,6 +43,17 @@ def document_keyword_hits(t: Tables):
                                  T.word_hits(F.col("text"), PERFORMANCE).cast("bigint").alias("performance_hits"))
 
 
+@query("keyword_table_hits", """
+WITH words AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS word FROM benchmark),
+listed AS (SELECT word, CAST(len(word) % 3 AS INTEGER) AS list FROM words WHERE word <> ''),
+hits AS (SELECT doc_id, list, (len(lower(text)) - len(replace(lower(text), word, ''))) // len(word) AS n FROM documents, listed)
+SELECT doc_id, list, CAST(sum(n) AS BIGINT) AS hits FROM hits GROUP BY doc_id, list HAVING sum(n) > 0""")
+def keyword_table_hits(t: Tables):
+    """Every word of the benchmark, in three lists, searched in every document at once."""
+    words = t["benchmark"].select(F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("word")).withColumn("list", F.length("word") % 3)
+    return keywords.keyword_hits(t["documents"], words, ["doc_id"])
+
+
 @query("mean_sentiment", f"""
 WITH {TEXTS_SQL},
 words AS (SELECT product_id, turn, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS word FROM texts),

@@ -23,6 +23,19 @@ def _json(spark: SparkSession, paths, schema: str, lines: bool = False) -> DataF
     return spark.read.schema(schema).option("multiLine", not lines).json(paths)
 
 
+def _placed(spark: SparkSession, paths, schema: str, lines: bool = False) -> DataFrame:
+    """Rows with ``source_order``, which sorts as the rows stand in the files: by path as given, file, part of the file and place in the part."""
+    given = [paths] if isinstance(paths, str) else list(paths)
+    out = None
+    for i, path in enumerate(given):
+        rows = _json(spark, path, schema, lines)
+        # A task reads its part of a file from front to back and numbers upwards.
+        rows = rows.withColumn("source_order", F.struct(
+            F.lit(i).alias("path"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("row")))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _listing_fields(spark: SparkSession) -> list[str]:
     return T._parse_datatype_string(schemas.LISTING).fieldNames()
 
@@ -37,12 +50,16 @@ def listing_rows(files: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def read_listings(spark: SparkSession, paths, lines: bool = False) -> DataFrame:
-    return listing_rows(_json(spark, paths, schemas.LISTING_FILE, lines), _listing_fields(spark))
+    """One row per listing with its place among all (``source_order``)."""
+    rows = listing_rows(_placed(spark, paths, schemas.LISTING_FILE, lines), _listing_fields(spark))
+    return rows.withColumn("source_order", F.struct("source_order.*", "position"))
 
 
 def read_listing_sets(spark: SparkSession, paths: dict[str, str], lines: bool = False) -> DataFrame:
-    """Files by type, stacked, each listing tagged with its type."""
-    return unify({kind: read_listings(spark, p, lines) for kind, p in paths.items()})
+    """Files by type, stacked, each listing tagged with its type; types follow one another in ``source_order``."""
+    def read(i: int, p) -> DataFrame:
+        return read_listings(spark, p, lines).withColumn("source_order", F.struct(F.lit(i).alias("set"), "source_order.*"))
+    return unify({kind: read(i, p) for i, (kind, p) in enumerate(paths.items())})
 
 
 def read_reviews(spark: SparkSession, paths, lines: bool = False) -> DataFrame:
@@ -58,16 +75,16 @@ def exploded_reviews(bundles: DataFrame) -> DataFrame:
 
 
 def read_sellers(spark: SparkSession, paths, lines: bool = False) -> DataFrame:
-    """Sellers flattened, the first record of an id in file order kept."""
-    rows = _json(spark, paths, schemas.SELLER_FILE, lines).withColumn("_file", F.col("_metadata.file_name"))
-    flat = rows.select("_file", F.posexplode("dados_vendedores").alias("_p", "s")).select(
+    """Sellers flattened, the first record of an id in the order of paths, files and records kept."""
+    rows = _placed(spark, paths, schemas.SELLER_FILE, lines)
+    flat = rows.select("source_order", F.posexplode("dados_vendedores").alias("_p", "s")).select(
         F.col("s.id").alias("id"), F.col("s.nickname").alias("nickname"), F.col("s.address.state").alias("state"),
         F.col("s.address.city").alias("city"), F.col("s.user_type").alias("user_type"),
         F.col("s.seller_reputation.level_id").alias("seller_level"),
         F.col("s.seller_reputation.power_seller_status").alias("seller_power_status"),
         F.col("s.seller_reputation.transactions.total").alias("transactions"),
-        F.col("s.status.site_status").alias("site_status"), "_file", "_p")
-    return keep_first(flat.where("id <> 0"), ["id"], ["_file", "_p"]).drop("_file", "_p")
+        F.col("s.status.site_status").alias("site_status"), "source_order", "_p")
+    return keep_first(flat.where("id <> 0"), ["id"], ["source_order", "_p"]).drop("source_order", "_p")
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame | None:
