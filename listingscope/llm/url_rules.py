@@ -114,7 +114,7 @@ def index(urls: DataFrame, rules: tuple[Rule, ...], url: str = "url") -> dict[st
 def judge(urls: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERN_RULES, key: str = "page_id", url: str = "url") -> DataFrame:
     """(key, host, path, rule, verdict, matched) for every row; ``rule`` is the host rule that decides, ``matched`` the first pattern rule that does.
 
-    A null URL, or one without ://, has an empty host and path, no rule, and is allowed. Two host rules of one name and different verdicts are
+    A null URL, or one without ://, has an empty host and path, no rule, and is allowed. Patterns run over the path of a URL with an empty host too. Two host rules of one name and different verdicts are
     refused. Equal URLs get equal verdicts; other columns are not read. An empty table gives an empty table.
     """
     names = [r.name for r in rules if r.host_rule]
@@ -134,7 +134,7 @@ def judge(urls: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERN_RULES,
                 host, path = host_and_path(u)
                 candidates = [*always, *(r for t in sorted(_tokens(host, path)) for r in by_token.get(t, ()))]
                 best = matched = None
-                for r in candidates if host else ():
+                for r in candidates:
                     if r not in compiled:
                         compiled[r] = re.compile(r.pattern)
                     if r.host_rule and compiled[r].match(host + path):

@@ -60,6 +60,78 @@ def test_wrappers_are_no_boilerplate(attributes):
     assert got.count("A sentence") == 6 and "Reader" not in got
 
 
+def _links(n):
+    return "".join(f"<li><a href=/{i}>Link {i}</a>" for i in range(n))
+
+
+@pytest.mark.parametrize("links, sentences", [(30, 6), (60, 12), (200, 6), (9, 40)])
+@pytest.mark.parametrize("frame", ["<body><div><ul>{}</ul></div><div>{}</div>", "<main><div><ul>{}</ul></div>{}</main>", "<article><div>{}</div><div>{}</div></article>"])
+def test_no_number_of_links_moves_the_threshold(links, sentences, frame):
+    got = html_paths.main_text(frame.format(_links(links), _sentences(sentences)))
+    assert "Link" not in got and got.count("A sentence") == sentences
+
+
+def test_a_teaser_is_not_the_article():
+    got = html_paths.main_text(f"<body><article><h2>Teaser</h2><p>Short.</p></article><div>{_sentences(30)}</div>")
+    assert got.count("A sentence") == 30
+    got = html_paths.main_text(f"<body><article>{_sentences(6)}</article><article>{_sentences(5, 6)}</article><div>Powered by this and that, as ever.</div>")
+    assert got.count("A sentence") == 11 and "Powered" not in got
+
+
+def test_parts_of_articles_stay():
+    got = html_paths.main_text(
+        f"<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.<div class='side-effects'>{_sentences(3)}</div><section class=legal>{_sentences(2, 3)}</section>"
+        f"<section id=related-work>{_sentences(2, 5)}</section><div class=reviews>{_sentences(2, 7)}</div><xmp>a <b> c</xmp><object><p>In an object, too.</object></article>")
+    assert got.startswith("Let x=2 be.\n\n") and all(f"number {i}." in got for i in range(9)) and got.endswith("a <b> c\n\nIn an object, too.")
+    assert "Reader" not in html_paths.main_text(f"<article>{_sentences(5)}<div class=related><ul><li><a href=/>Reader of this</a><li><a href=/>Reader of that</a></ul></div></article>")
+
+
+def test_links_need_an_address_and_end():
+    got = html_paths.main_text(f"<body><div><p><a name=x>Anchored text, and more of it. {_sentences(4)}</div><ul>{_links(9)}</ul>")
+    assert got.startswith("Anchored") and got.count("A sentence") == 4 and "Link" not in got
+    got = html_paths.main_text(f"<body><div><div><a href=/>open for ever</div>{_sentences(5)}</div>")
+    assert got.count("A sentence") == 5
+
+
+def plain_main(blocks):
+    """The published steps over (path, text, linked) rows, for pages whose content has one parent: indices that stay."""
+    import math
+    paths = sorted({p for p, _, _ in blocks})
+    own = {p: [b for b in blocks if b[0] == p] for p in paths}
+    chars = {p: sum(len(t) for _, t, _ in own[p]) for p in paths}
+    ratio = {p: (chars[p] / len(own[p]), sum(len(html_paths.PUNCTUATION.findall(t)) for _, t, _ in own[p]) / len(own[p]), 1 - sum(k for _, _, k in own[p]) / chars[p]) for p in paths}
+    score = {}
+    for p in paths:
+        at = []
+        for i, b in enumerate(blocks):
+            if b[0] == p:
+                near = [j for j in range(i - 2, i + 3) if 0 <= j < len(blocks)]
+                w = [math.exp(-(j - i) ** 2 / 2) for j in near]
+                smooth = [sum(x * ratio[blocks[j][0]][c] for x, j in zip(w, near)) / sum(w) for c in range(3)]
+                at.append(math.log1p(smooth[0] * (smooth[1] + 1e-3) * (smooth[2] + 1e-3)))
+        score[p] = sum(at) / len(at)
+    weight = {p: chars[p] * ratio[p][2] for p in paths}
+    mean = sum(weight[p] * score[p] for p in paths) / sum(weight.values())
+    least = mean - 0.5 * math.sqrt(sum(weight[p] * (score[p] - mean) ** 2 for p in paths) / sum(weight.values())) - 1e-9
+    return {p for p in paths if score[p] >= least}
+
+
+def test_scores_against_a_plain_reading():
+    import random
+    r = random.Random(3)
+    for _ in range(40):
+        blocks = []
+        for _ in range(r.randrange(3, 40)):
+            path = r.choice([("body", "div", "p"), ("body", "div", "li"), ("body", "ul", "li"), ("body", "p")])
+            text = " ".join(r.choices(["word", "more,", "long-winded", "x.", "y"], k=r.randrange(1, 30)))
+            blocks.append((path, text, r.choice([0, 0, len(text), len(text) // 2])))
+        if not any(len(t) > k for _, t, k in blocks):
+            continue
+        made = [html_paths.Block(tuple(range(len(p))), p, False, (), False, False, t, k) for p, t, k in blocks]
+        scores, _, least = html_paths._scores(made)
+        assert {p for p, x in scores.items() if x >= least} == plain_main(blocks)
+
+
 def test_every_row_comes_back(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, "old"), (1, "u", PAGE, "old")], "page_id long, url string, html string, text string")
     got = html_paths.extract(df)
@@ -75,7 +147,10 @@ def test_whole_pages_of_the_tables(spark):
     texts = {r.page_id: r.text for r in html_paths.extract(pages).collect()}
     for r in pages.collect():
         article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
-        assert texts[r.page_id].split() == html.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", article))).split()
+        words = html.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", article))).split()
+        assert texts[r.page_id].split() == words
+        unmarked = re.sub("(</?)article>", r"\1div>", r.html)    # nothing but the ratios tells the article
+        assert html_paths.main_text(unmarked).split() == words
 
 
 @pytest.mark.parametrize("url, host, path", [
@@ -87,7 +162,7 @@ def test_host_and_path(url, host, path):
 
 URLS = ["http://a.com/x", "http://example.com/en/1", "http://example.com/en", "http://m.example.com/en/", "https://www.example.com/en/?q", "http://a.www.example.com/en/",
         "http://net/es/1", "http://x.net/fr/", "http://x.net/de/", "http://casino-win.example.org/a", "http://occasino.org/", "http://x.org/free_bets/", "http://xcom/",
-        "http://free-bets.example.com/fr/", "http://internet/es/", "http://x.org/EN?pills", None, "", "nothing", "http://"]
+        "http://free-bets.example.com/fr/", "http://internet/es/", "http://x.org/EN?pills", None, "", "nothing", "http://", "file:///casino", "x:///y?casino", "casino"]
 
 
 def plain_verdict(url):
@@ -97,7 +172,7 @@ def plain_verdict(url):
         best = max(fit, key=lambda r: len(r.name))
         return best.name, best.verdict
     import re
-    return None, "block" if host and any(re.search(r.pattern, (host + path).lower()) for r in url_rules.PATTERN_RULES) else "allow"
+    return None, "block" if any(re.search(r.pattern, (host + path).lower()) for r in url_rules.PATTERN_RULES) else "allow"
 
 
 def test_candidates_lose_no_rule(spark):
