@@ -111,6 +111,22 @@ def test_copies_of_a_document_do_not_empty_it(spark):
     assert line_templates.drop_recurring_lines(df, min_documents=5).where("n_dropped > 0").count() == 0
 
 
+def test_long_passages_go_from_two_documents_on(spark):
+    passage = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    tokens = passage.split()
+    rows = [(1, f"own one\n{passage}"), (2, f"{passage}\nown two"), (3, passage + " and more"), (4, "short heading here"), (5, "short heading here\nx"), (6, None), (7, "hot line of five tokens")]
+    rows += [(10 + i, " ".join(tokens[:12]) + f"\nmine {i}x") for i in range(4)] + [(20 + i, " ".join(tokens[3:15]) + f"\nmine {i}y") for i in range(3)]
+    rows += [(100 + i, f"hot line of five tokens\n{i}q" * (1 + i % 3)) for i in range(300)] + [(500, "w " * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_templates.drop_recurring_lines(df)
+    dropped = {r.doc_id: r.n_dropped for r in got.collect()}
+    assert dropped[1] == dropped[2] == 1 and dropped[3] == dropped[4] == dropped[5] == dropped[6] == dropped[500] == 0 and dropped[7] == 1
+    assert all(dropped[10 + i] == 1 for i in range(4)) and all(dropped[20 + i] == 0 for i in range(3)) and all(dropped[100 + i] >= 1 for i in range(300))
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert compare(got.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")), con, line_templates.recurring_lines_sql()) is None
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_products_against_all_pairs(spark, monkeypatch, small):
     if small:
