@@ -57,6 +57,20 @@ def test_reviews_and_sellers(spark, tmp_path):  # A2, A3, C2
     assert sorted((r.id, r.nickname, r.transactions) for r in raw.read_sellers(spark, [s1, s2]).collect()) == [(1, "first", 5), (2, "two", None)]
 
 
+def test_first_record_in_source_order_wins(spark, tmp_path):  # C1
+    files = [dump(tmp_path / name, {"produtos": [listing(i, titulo=f"{name} {i} {k}", link=link) for i, k, link in rows]}) for name, rows in (
+        ("z.json", [(1, 0, "z"), (1, 1, "a"), (2, 0, "z")]), ("a.json", [(1, 0, "b"), (3, 0, "z"), (3, 1, "a")]))]
+    rows = raw.read_listing_sets(spark, {"x": files, "a": dump(tmp_path / "0.json", [listing(3, titulo="late", link="0"), listing(4, titulo="only")])})
+    none = spark.createDataFrame([], "id long, nickname string, transactions long")
+    reviews = spark.createDataFrame([], "product_id string, review_no int, text string")
+    found = flow.features(flow.Inputs(rows, none, reviews)).select("listing_id", "title").collect()
+    assert {r.listing_id: r.title for r in found} == {"MLB1": "z.json 1 0", "MLB2": "z.json 2 0", "MLB3": "a.json 3 0", "MLB4": "only"}
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    (lines / "l.json").write_text("\n".join(json.dumps({"dados_vendedores": [{"id": 5, "nickname": f"n{i}"}]}) for i in range(30)), encoding="utf-8")
+    assert [r.nickname for r in raw.read_sellers(spark, str(lines), lines=True).collect()] == ["n0"]
+
+
 def test_folder_pairs(spark, tmp_path):  # A4, D3, C8
     dump(tmp_path / "lot1.json", {"produtos": [listing(1), listing(2), {"titulo": "no id"}]})
     dump(tmp_path / "lot1_reviews.json", {"reviews": [{"produto_id": "MLB1", "review_number": 2, "text": "b"}, {"produto_id": "MLB1", "review_number": 1, "text": "a"}]})
