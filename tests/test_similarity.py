@@ -69,3 +69,14 @@ print("pairs", catalog.QUERIES["similarity_counts"](local_session(2), "/root/tes
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "pairs " in done.stdout, done.stderr[-2000:]
+
+
+def test_few_copies_and_few_rows_travel(spark, table):
+    """A vector is sent to few blocks however small the smallest, and crowds need a hub per text, not per pair of texts."""
+    rows = table("listing_id long, seller_id long, vec array<double>", *vectors())
+    same, near, wide = similarity.similarity_layer(rows, "t", 0.3, 1, block=1)
+    texts = same.select("key").distinct().count()
+    assert 0 < wide.count() <= texts * 9
+    units, _ = similarity.distinct_vectors(rows)
+    seen = similarity._multiplied(units, 0.3, 1, lambda t, found: t.select(["vec_id"]), "vec_id long")
+    assert seen.groupBy("vec_id").count().agg({"count": "max"}).first()[0] <= 2 * similarity.PARTS + 4
