@@ -54,12 +54,12 @@ def event_payload(html: Column) -> Column:
     """All embedded events as one struct; for each field the last event that has it."""
     events = F.transform(F.regexp_extract_all(html, F.lit(EVENT_CALL), F.lit(1)), lambda e: F.from_json(e, EVENT))
 
-    def last(name: str) -> Column:
-        values = F.filter(F.transform(events, lambda e: e[name]), lambda v: v.isNotNull())
+    def last(found: Column, name: str) -> Column:
+        values = F.filter(F.transform(found, lambda e: e[name]), lambda v: v.isNotNull())
         return F.try_element_at(values, F.lit(-1))
 
     names = ("catalog_product_id", "seller_id", "seller_name", "price", "free_shipping", "reputation_level", "power_seller_status", "reviews")
-    return F.struct(*[last(n).alias(n) for n in names])
+    return E.let(events, lambda found: F.struct(*[last(found, n).alias(n) for n in names]))
 
 
 def merged_listing(pages: DataFrame) -> DataFrame:
@@ -116,8 +116,9 @@ def spec_rows(html: Column) -> Column:
 
 def spec_map(rows: Column) -> Column:
     """name → value; a repeated name keeps its last value."""
-    names = F.array_distinct(F.transform(rows, lambda r: r["name"]))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(rows, lambda r: r["name"] == n), -1)["value"]))
+    placed = F.sort_array(F.transform(rows, lambda r, i: F.struct(r["name"].alias("name"), i.alias("i"), r["value"].alias("value"))))
+    return E.let(placed, lambda p: F.map_from_entries(F.transform(
+        F.filter(p, lambda r, i: ~F.coalesce(F.get(p, i + 1)["name"] == r["name"], F.lit(False))), lambda r: F.struct(r["name"], r["value"]))))
 
 
 def spec_attribute(name: Column) -> Column:
@@ -142,10 +143,10 @@ def spec_attributes(rows: Column) -> Column:
     tagged = F.transform(rows, lambda r: F.struct(spec_attribute(r["name"]).alias("k"), r["value"].alias("v")))
     names = ["brand", "model", "model_code"] + [a for a, _ in SPEC_WORDS[2:]]
 
-    def last(name: str) -> Column:
-        return F.try_element_at(F.filter(tagged, lambda t: t["k"] == name), F.lit(-1))["v"]
+    def last(found: Column, name: str) -> Column:
+        return F.try_element_at(F.filter(found, lambda t: t["k"] == name), F.lit(-1))["v"]
 
-    return F.struct(*[last(n).alias(n) for n in names])
+    return E.let(tagged, lambda found: F.struct(*[last(found, n).alias(n) for n in names]))
 
 
 # Bar widths assumed by position when all five levels show none.

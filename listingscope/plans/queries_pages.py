@@ -72,7 +72,7 @@ def _page_of(t: Tables):
                      F.lit("</td></tr><tr><th>MODELO</th><td>"), key, F.lit("</td></tr></table>"))
     html = F.concat(F.lit("<title>"), F.when(size % 3 > 0, F.col("p_name")).otherwise(F.lit("")), F.lit('</title><script type="application/ld+json">'), ld, F.lit("</script>"),
                     F.when(size % 2 == 0, first).otherwise(F.lit("")), F.when(size % 4 == 0, second).otherwise(F.lit("")), table)
-    return t["part"].select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://x/"), key).alias("url"), html.alias("html"))
+    return t.spread("part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://x/"), key).alias("url"), html.alias("html"))
 
 
 @query("embedded_pages", """
@@ -89,8 +89,9 @@ def embedded_pages(t: Tables):
 SELECT p_partkey AS page_id, p_size + 23 AS n_rows, p_size + 22 AS n_names, CAST(2 * p_size + 20 AS VARCHAR) AS last_field, p_brand AS brand, CAST(p_partkey AS VARCHAR) AS model FROM part""")
 def page_specifications(t: Tables):
     """Every row counts, a repeated name keeps its last value."""
-    rows = P.spec_rows(F.col("html"))
-    spec = _page_of(t).select("page_id", rows.alias("r"), P.spec_map(rows).alias("m"), P.spec_attributes(rows).alias("a"))
+    rows = F.col("r")
+    spec = _page_of(t).select("page_id", P.spec_rows(F.col("html")).alias("r")).select(
+        "page_id", "r", P.spec_map(rows).alias("m"), P.spec_attributes(rows).alias("a"))
     last = F.try_element_at("m", F.concat(F.lit("campo "), (F.size("r") - 3).cast("string")))
     return spec.select("page_id", F.size("r").alias("n_rows"), F.size("m").alias("n_names"), last.alias("last_field"), "a.brand", "a.model")
 
@@ -139,7 +140,7 @@ def nested_descriptions(t: Tables):
     trail = F.when(size % 3 > 0, F.concat(F.lit('<nav class="ui-search-breadcrumb"><ol><li><a href="/">'), "p_brand", F.lit("</a><li>"), "p_type", F.lit("<ul><li>"), size.cast("string"),
                                           F.lit("</ul></ol>"))).otherwise("")
     page = F.concat(F.lit("<html><body>"), trail, F.lit("</nav><main>"), box, F.lit("</main><footer>after</footer>"))
-    pages = t["part"].select(F.col("p_partkey").alias("page_id"), page.alias("html"))
+    pages = t.spread("part").select(F.col("p_partkey").alias("page_id"), page.alias("html"))
     return pages.select("page_id", P.description(F.col("html")).alias("description"), P.breadcrumb(F.col("html")).alias("category"))
 
 
@@ -179,7 +180,7 @@ def review_summaries(t: Tables):
         F.lit('<div class="ui-review-capability__rating__average"><span>'), value, F.lit('</span></div><p class="ui-review-capability__rating__label"><b>'), text, F.lit("</b> notas"),
         F.lit('<div data-testid="summary-component"><div><p class="ui-review-capability__summary__plain_text__summary_container">'), "p_name", F.lit(" <span><span>"), "p_brand",
         F.lit("</span></span></p></div>"), button, F.lit("</div><table>"), rows, F.lit("</table>"))
-    found = t["part"].select(F.col("p_partkey").alias("page_id"), P.review_page_summary(page).alias("s"))
+    found = t.spread("part").select(F.col("p_partkey").alias("page_id"), P.review_page_summary(page).alias("s"))
     marks = F.col("s.characteristics")
     return found.select("page_id", "s.average_rating", "s.total_reviews", "s.summary", "s.likes", "s.available", F.size(marks).alias("n_characteristics"),
                         F.try_element_at(marks, F.lit("Kind 1")).alias("first_value"))

@@ -37,6 +37,11 @@ class Tables:
     def __getitem__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """Rows dealt over all cores: a file of short rows is one split, whatever long pages are made of them."""
+        rows = self[name]
+        return rows.repartition(max(4 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+
     def listings(self) -> DataFrame:
         """One listing per (part, supplier); order lines are summed before the joins."""
         star = F.col("l_linenumber") % 5 + 1

@@ -98,3 +98,12 @@ def test_addresses(table):  # J1 to J5
     assert [r[0] for r in df.select(U.product_code(F.col("u"))).collect()] == ["MLB4139079419", "MLB37141763", None, None]
     assert [r[0].reason for r in df.select(U.check_url(F.col("u"))).collect()] == ["ok", "wrong host", "wrong scheme", "empty"]
     assert df.select(U.clean_url(F.col("u"))).first()[0] == "https://produto.mercadolivre.com.br/MLB-4139079419-x"
+
+
+def test_specifications_are_read_once_a_page(table):  # J9
+    """A name costs no further pass over the page: 4,000 rows, each name twice, in seconds."""
+    import time
+    page = "<table>" + "".join(f"<tr><th>Campo {i % 2000}</th><td>{i}</td></tr>" for i in range(4000)) + "</table>"
+    start = time.time()
+    found = one(table, P.spec_map(P.spec_rows(F.col("html"))), page)
+    assert len(found) == 2000 and found["campo 7"] == "2007" and time.time() - start < 20
