@@ -200,11 +200,11 @@ def panel(df: DataFrame) -> DataFrame:
 
 
 def risk_counts(df: DataFrame) -> DataFrame:
-    return df.where(F.col("risk").isNotNull()).groupBy("risk").agg(F.count(F.lit(1)).alias("listings"))
+    return df.groupBy("risk").agg(F.count("risk").alias("listings")).where("listings > 0")
 
 
 def risk_means(df: DataFrame) -> DataFrame:
-    return df.where(F.col("risk").isNotNull()).groupBy("risk").agg(F.avg("score").alias("mean_score"))
+    return df.groupBy("risk").agg(F.avg("score").alias("mean_score"), F.count("risk").alias("_n")).where("_n > 0").drop("_n")
 
 
 def flag_totals(df: DataFrame, n: int | None = None) -> DataFrame:
@@ -214,8 +214,9 @@ def flag_totals(df: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def band_counts(df: DataFrame, band: Column) -> DataFrame:
-    return df.withColumn("band", band).where("band is not null").groupBy("band").agg(
-        F.count(F.lit(1)).alias("listings"), F.sum("suspect").alias("suspects"))
+    """Rows without a band are counted out after the sums: a filter on the band would repeat the whole score in every branch."""
+    rows = df.withColumn("band", band).groupBy("band").agg(F.count("band").alias("listings"), F.sum("suspect").alias("suspects"))
+    return rows.where("listings > 0")
 
 
 def spread(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -24,6 +24,7 @@ class Rule:
     needs: tuple[str, ...] = ()
     flag_live: bool = False           # the flag column is set in "as_coded" mode
     points_live: bool = True          # the points are given in "as_coded" mode
+    looks_back: bool = False          # the test reads the running score, which is then computed once
 
     @property
     def flag_column(self) -> str:
@@ -47,7 +48,7 @@ DEFAULT_RULES: tuple[Rule, ...] = (
     Rule("reviews_negative", 0.5, _on("negative_share", lambda s: s.between(0.15, 0.30)), ("negative_share",)),
     Rule("xl_mismatch", 1.0, _on("xl_mismatch", lambda x: x == 1), ("xl_mismatch",), points_live=False),
     Rule("new_seller", 1.0, _on("transactions", lambda t: t < 50), ("transactions",)),
-    Rule("official_suspect", 1.0, lambda running: (F.col("official") == 1) & (running >= 2.0), ("official",)),
+    Rule("official_suspect", 1.0, lambda running: (F.col("official") == 1) & (running >= 2.0), ("official",), looks_back=True),
     # On top of the two price points: ten points in all.
     Rule("instant_fraud", 8.0, _on("price_gap", lambda g: g < -0.30), ("price_gap",), flag_live=True),
 )
@@ -69,16 +70,18 @@ def score(
     """
     if mode not in ("as_coded", "as_documented"):
         raise ValueError(f"unknown mode {mode!r}")
+    known = [c for c in df.columns if c not in {f"flag_{r.name}" for r in rules} | {"score", "suspect"}]
     running = F.lit(0.0)
     flags: list[Column] = []
     for rule in rules:
         usable = all(name in df.columns for name in rule.needs)
+        if rule.looks_back:
+            df, running = df.withColumn("_running", running), F.col("_running")
         hit = rule.test(running) if usable else F.lit(False)
         documented = mode == "as_documented"
         flags.append(flag(hit if documented or rule.flag_live else F.lit(False)).alias(rule.flag_column))
         if documented or rule.points_live:
             running = running + F.when(hit, rule.points).otherwise(0.0)
-    known = [c for c in df.columns if c not in {f"flag_{r.name}" for r in rules} | {"score", "suspect"}]
     scored = df.select(*known, *flags, running.alias("score"))
     return scored.withColumn("suspect", flag(F.col("score") >= threshold))
 
