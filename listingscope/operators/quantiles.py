@@ -1,72 +1,98 @@
 """Exact quantiles, histograms and summaries without a global sort or one big group.
 
 The built-in exact percentile keeps every distinct value of a group in one
-task. Here values are counted, spread over buckets cut at approximate
-quantiles, ranked inside the bucket and shifted by the buckets before it.
+task. Here approximate quantiles fence in the place of each one asked for; values
+inside a fence are counted one by one and ranked, those between fences only
+counted. A fence that missed its place is seen by the counts and drawn wider.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listingscope.session import cut
-
-STEP = 64            # buckets found by comparing with this many cuts, twice
-ROWS_PER_BUCKET = 1_000_000
-
-
-def _bucket(cuts: Column, value: Column) -> Column:
-    """How many of the sorted cuts lie below the value: first by blocks, then inside one."""
-    heads = F.transform(F.sequence(F.lit(1), F.ceil(F.size(cuts) / STEP).cast("int")), lambda i: F.get(cuts, (i - 1) * STEP))
-    block = F.greatest(F.size(F.filter(heads, lambda b: b < value)) - 1, F.lit(0))
-    return block * STEP + F.size(F.filter(F.slice(cuts, block * STEP + 1, F.lit(STEP)), lambda b: b < value))
+from listingscope.session import cut, discard
+
+ACCURACY = 10_000
+BUCKETS = 2_500      # a fence is two of so many parts of a group wide, four times what the approximation may be off to each side
+SMALL = 100_000      # values of a group that are all kept
+
+
+def _fences(probs: Iterable[float], buckets: int) -> list[tuple[float, bool]]:
+    """Ends of the fences in ascending order as (share, opens); one at or beyond an end of the values is left out."""
+    spans: list[list[float]] = []
+    for p in sorted(set(probs)):
+        low, high = p - 1 / buckets, p + 1 / buckets
+        if spans and low <= spans[-1][1]:
+            spans[-1][1] = high
+        else:
+            spans.append([low, high])
+    return [(share, opens) for span in spans for share, opens in zip(span, (True, False)) if 0 < share < 1]
+
+
+def _counted(rows: DataFrame, value: str, probs: Iterable[float], by: list[str], buckets: int) -> DataFrame:
+    """(by, _total, _slot, _key, _n, _low, _high): each value inside a fence with its count, and one row for all values between two fences."""
+    ends = _fences(probs, buckets)
+    aggregates = [F.count(F.lit(1)).alias("_total")]
+    if ends:
+        aggregates.append(F.percentile_approx(value, F.array(*[F.lit(share) for share, _ in ends]), F.lit(ACCURACY)).alias("_cuts"))
+    # Fixed once: approximate quantiles may differ from run to run.
+    bounds = cut(rows.groupBy(*by).agg(*aggregates))
+    bounds = bounds.select(*by, "_total", *[F.get("_cuts", F.lit(i)).alias(f"_c{i}") for i in range(len(ends))])
+    known = rows.join(bounds, by) if by else rows.crossJoin(F.broadcast(bounds))
+    # The ends belong to the fence, so equal ends still hold their value.
+    passed = [F.when((F.col(value) >= F.col(f"_c{i}")) if opens else (F.col(value) > F.col(f"_c{i}")), 1).otherwise(0) for i, (_, opens) in enumerate(ends)]
+    fenced = [0] if not ends or not ends[0][1] else []
+    fenced += [i for i, (_, opens) in enumerate(ends, start=1) if opens]
+    placed = known.select(*by, value, "_total", sum(passed, F.lit(0)).alias("_slot"))
+    key = F.when(F.col("_slot").isin(fenced) | (F.col("_total") <= SMALL), F.col(value))
+    return placed.withColumn("_key", key).groupBy(*by, "_total", "_slot", "_key").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(value).alias("_low"), F.max(value).alias("_high"))
 
 
 def exact_quantiles(
     df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), buckets: int | None = None
 ) -> DataFrame:
     """One row per group; each quantile is interpolated between its neighbours."""
-    by = list(by)
-    keep = [*by, value]
-    counts = cut(df.where(F.col(value).isNotNull()).groupBy(*keep).agg(F.count(F.lit(1)).alias("_n")))
-    if buckets is None:  # 16 to 4096, by how many distinct values there are
-        buckets = max(16, min(STEP * STEP, counts.count() // ROWS_PER_BUCKET))
-    cuts = [i / buckets for i in range(1, buckets)]
-    # Fixed once: the approximate cuts may differ from run to run, and rows and
-    # bucket sizes must be placed by the same ones.
-    bounds = cut(counts.groupBy(*by).agg(
-        F.percentile_approx(value, F.array(*map(F.lit, cuts)), F.lit(10_000)).alias("_cuts"),
-        F.sum("_n").alias("_total"),
-    ))
-    if by:
-        known = counts.join(bounds, by)
-    else:
-        one = bounds.first()  # a few dozen numbers
-        fixed = F.array(*map(F.lit, one["_cuts"] or [])).cast("array<double>")
-        known = counts.withColumns({"_cuts": fixed, "_total": F.lit(one["_total"]).cast("bigint")})
-    placed = known.withColumn("_bucket", _bucket(F.col("_cuts"), F.col(value))).drop("_cuts")
-    sizes = placed.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_size"))
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*by, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.join(starts, [*by, "_bucket"]).withColumn("_upto", F.col("_start") + F.sum("_n").over(inside))
-
-    def at(place: Column) -> Column:
-        """The value at a 0-based place of the group's sorted values."""
-        return F.max(F.when((F.col("_upto") - F.col("_n") <= place) & (place < F.col("_upto")), F.col(value)))
-
-    picked = []
+    return _quantiles(cut(df.select(*by, value)), value, probs, list(by), buckets)
+
+
+def _quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str], buckets: int | None = None) -> DataFrame:
+    """``exact_quantiles`` of rows that are cheap to read twice."""
+    rows, buckets = df.where(F.col(value).isNotNull()).select(*by, value), buckets or BUCKETS
+    while True:
+        counts = cut(_counted(rows, value, probs.values(), by, buckets))
+        found = cut(_picked(counts, probs, by))
+        discard(counts)
+        if buckets == 1 or found.where("_missed").isEmpty():
+            return found.drop("_missed")
+        discard(found)
+        buckets = max(1, buckets // 4)
+
+
+def _picked(counts: DataFrame, probs: dict[str, float], by: list[str]) -> DataFrame:
+    sizes = counts.groupBy(*by, "_slot").agg(F.sum("_n").alias("_size"))
+    before = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*by, "_slot", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*by, "_slot").orderBy("_low").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(starts, [*by, "_slot"]).withColumn("_upto", F.col("_start") + F.sum("_n").over(inside))
+
+    def holds(place: Column) -> Column:
+        """Whether a row holds a 0-based place of the group's sorted values."""
+        return (F.col("_upto") - F.col("_n") <= place) & (place < F.col("_upto"))
+
+    picked, missed = [], F.lit(False)
     for name, p in probs.items():
         place = F.lit(float(p)) * (F.col("_total") - 1)
-        picked += [at(F.floor(place)).alias(f"{name}_lo"), at(F.ceil(place)).alias(f"{name}_hi"),
+        picked += [F.max(F.when(holds(F.floor(place)), F.col("_low"))).alias(f"{name}_lo"), F.max(F.when(holds(F.ceil(place)), F.col("_low"))).alias(f"{name}_hi"),
                    F.max(place - F.floor(place)).alias(f"{name}_w")]
-    out = ranked.groupBy(*by).agg(*picked)
+        missed = missed | holds(F.floor(place)) | holds(F.ceil(place))
+    out = ranked.groupBy(*by).agg(*picked, F.coalesce(F.max(missed & (F.col("_low") < F.col("_high"))), F.lit(False)).alias("_missed"))
     return out.select(*by, *[
         (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_w")).alias(n) for n in probs
-    ])
+    ], "_missed")
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
@@ -82,7 +108,7 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles, ends and the outermost values within 1.5 box widths."""
     rows = cut(df.where(F.col(value).isNotNull()).select(by, value))  # read three times below
-    quartiles = exact_quantiles(rows, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [by])
+    quartiles = _quantiles(rows, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [by])
     width = F.col("q3") - F.col("q1")
     fenced = rows.join(quartiles, by)
     low, high = F.col("q1") - 1.5 * width, F.col("q3") + 1.5 * width
@@ -102,4 +128,4 @@ def describe(df: DataFrame, values: Sequence[str]) -> DataFrame:
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    return basic.join(exact_quantiles(long, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["column"]), "column", "left")
+    return basic.join(_quantiles(long, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["column"]), "column", "left")

@@ -33,3 +33,21 @@ def test_empty(table):
     none = table("v double")
     assert quantiles.exact_quantiles(none, "v", {"m": 0.5}).first().m is None
     assert quantiles.histogram(none, "v", 3).count() == 0
+
+
+def test_values_between_fences_are_only_counted(spark):
+    rows = spark.range(300_000).selectExpr("cast(id % 2 as string) g", "cast(hash(id) as double) v")
+    kept = quantiles._counted(rows, "v", PROBS.values(), ["g"], quantiles.BUCKETS)
+    assert kept.count() < 5_000 and kept.agg({"_n": "sum"}).first()[0] == 300_000
+    found = {r.g: r for r in quantiles.exact_quantiles(rows, "v", PROBS, ["g"]).collect()}
+    for g, values in rows.toPandas().groupby("g").v:
+        assert [found[g][n] for n in PROBS] == pytest.approx(list(np.quantile(values, list(PROBS.values()))))
+
+
+@pytest.mark.parametrize("buckets", [4, 10_000])
+def test_fences_that_miss_are_drawn_wider(spark, monkeypatch, buckets):
+    monkeypatch.setattr(quantiles, "SMALL", 0)
+    monkeypatch.setattr(quantiles, "ACCURACY", 5)
+    rows = spark.range(4_000).selectExpr("cast(if(id % 3 = 0, 7, hash(id) % 1000) as double) v")
+    found = quantiles.exact_quantiles(rows, "v", PROBS, (), buckets).first()
+    assert list(found) == pytest.approx(list(np.quantile(rows.toPandas().v, list(PROBS.values()))))
