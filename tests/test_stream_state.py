@@ -71,3 +71,16 @@ def test_counts_fold_and_repeated_batches(spark, tmp_path):
     assert len(counts._done("base")) == 2 and counts.read(1).count() == 2
     assert reuse.ImageCounts(spark, str(tmp_path / "none")).read().count() == 0
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_newest_rows_fold_and_a_batch_run_again_sees_the_same_rows(spark, tmp_path):
+    schema = spark.createDataFrame([], SCHEMA).schema
+    state = reuse.Newest(spark, str(tmp_path / "n"), schema, fold=2)
+    moves = [[(1, 0, "a"), (2, 0, "a")], [(1, 1, "b"), (1, 0, "z")], [(1, 1, "a"), (2, 2, None)], [(1, 2, "c")]]
+    want = [{(1, "a", None), (2, "a", None)}, {(1, "b", "a")}, {(2, None, "a")}, {(1, "c", "b")}]
+    for i, move in enumerate(moves):
+        for _ in range(2):
+            batch = spark.createDataFrame([(k, START + timedelta(minutes=t), image, None, 1, "") for k, t, image in move], schema)
+            assert {(r.listing_id, r.image_hash, r.previous_image) for r in state.add(batch, i).collect()} == want[i]
+    assert {(r.listing_id, r.image_hash) for r in state.read().collect()} == {(1, "c"), (2, None)}
+    assert len(reuse._done(spark, str(tmp_path / "n"), "base")) == 2
