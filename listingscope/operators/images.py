@@ -15,14 +15,14 @@ def hash_counts(images: DataFrame, column: str = "image_hash") -> DataFrame:
     return valid.groupBy(column).agg(F.count(F.lit(1)).alias("image_reuse"))
 
 
-def with_reuse(images: DataFrame, column: str = "image_hash") -> DataFrame:
-    """Occurrences of each row's hash; failed and missing hashes have none.
+def with_reuse(images: DataFrame, column: str = "image_hash", among: DataFrame | None = None) -> DataFrame:
+    """Occurrences of each row's hash, in ``images`` or in all the rows of ``among``; failed and missing hashes have none.
 
     Counted and joined back rather than windowed: a hash shared by a third of
     all images then costs one partial count per task, and the join side that
     holds the hot value can be split at run time.
     """
-    return images.join(hash_counts(images, column), column, "left").fillna({"image_reuse": 0})
+    return images.join(hash_counts(images if among is None else among, column), column, "left").fillna({"image_reuse": 0})
 
 
 def per_listing(hashed: DataFrame, key: str = "listing_id") -> DataFrame:

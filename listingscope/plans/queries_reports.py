@@ -64,12 +64,12 @@ def filtered_communities(t: Tables):
 
 @query("seller_suspects", sql(REPORT_SQL, "SELECT listing_id, score, price FROM report WHERE seller_id = 7 AND suspect = 1"))
 def seller_suspects(t: Tables):
-    return reports.seller_listings(t.report(), 7, suspect=True).select("listing_id", "score", "price")
+    return reports.seller_listings(t.report(7), 7, suspect=True).select("listing_id", "score", "price")
 
 
 @query("seller_legitimate", sql(REPORT_SQL, "SELECT listing_id, score, price FROM report WHERE seller_id = 7 AND suspect = 0 ORDER BY score DESC, listing_id LIMIT 10"))
 def seller_legitimate(t: Tables):
-    return reports.seller_listings(t.report(), 7, suspect=False, limit=10).select("listing_id", "score", "price")
+    return reports.seller_listings(t.report(7), 7, suspect=False, limit=10).select("listing_id", "score", "price")
 
 
 @query("score_scatter", sql(REPORT_SQL, "SELECT listing_id, price_gap, score, model_score, hybrid, suspect FROM report"))

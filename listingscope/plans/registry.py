@@ -42,10 +42,10 @@ class Tables:
         rows = self[name]
         return rows.repartition(max(4 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
 
-    def listings(self) -> DataFrame:
-        """One listing per (part, supplier); order lines are summed before the joins."""
+    def listings(self, lines: DataFrame | None = None) -> DataFrame:
+        """One listing per (part, supplier); order lines, all or those given, are summed before the joins."""
         star = F.col("l_linenumber") % 5 + 1
-        lines = self["lineitem"].groupBy("l_partkey", "l_suppkey").agg(
+        lines = (self["lineitem"] if lines is None else lines).groupBy("l_partkey", "l_suppkey").agg(
             F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
             F.count(F.lit(1)).alias("n_reviews"),
             F.sum(F.when(star <= 2, 1).otherwise(0)).alias("neg_reviews"),
@@ -70,12 +70,20 @@ class Tables:
             F.when(nation == 0, -1).otherwise(nation).cast("bigint").alias("community"),
         )
 
-    def features(self) -> DataFrame:
+    def features(self, seller: int | None = None) -> DataFrame:
+        """Features of all listings, or of one seller's: then only order lines that show a picture of that seller are summed."""
         from listingscope.functions.columns import share
         from listingscope.functions.listing import price_gap, text_mismatch, weighted_rating
         from listingscope.operators.images import with_reuse
 
-        rows = with_reuse(self.listings())
+        if seller is None:
+            rows = with_reuse(self.listings())
+        else:
+            own = self.listings(self["lineitem"].where(F.col("l_suppkey") == seller))
+            part = self["part"].select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
+            shown = self["lineitem"].join(part, "l_partkey").withColumn("image_hash", F.concat_ws("-", "l_suppkey", "p_brand", "p_type"))
+            alike = shown.join(own.select("image_hash").distinct(), "image_hash", "left_semi").drop("image_hash", "p_brand", "p_type")
+            rows = with_reuse(own, among=self.listings(alike))
         return rows.withColumns({
             "price_gap": price_gap(F.col("price"), F.col("list_price")),
             "negative_share": share(F.col("neg_reviews"), F.col("n_reviews")),
@@ -83,16 +91,16 @@ class Tables:
             "xl_mismatch": text_mismatch(F.col("title"), F.col("kind"), "large"),
         })
 
-    def scored(self, mode: str = "as_coded") -> DataFrame:
+    def scored(self, mode: str = "as_coded", seller: int | None = None) -> DataFrame:
         from listingscope.operators.rules import score
 
-        return score(self.features(), mode=mode)
+        return score(self.features(seller), mode=mode)
 
-    def report(self) -> DataFrame:
+    def report(self, seller: int | None = None) -> DataFrame:
         from listingscope.operators.dedupe import drop_missing_key, without_used
         from listingscope.operators.rules import hybrid_score, risk_category
 
-        rows = without_used(drop_missing_key(self.scored(), "seller_id"))
+        rows = without_used(drop_missing_key(self.scored(seller=seller), "seller_id"))
         return rows.withColumn("risk", risk_category(F.col("score"))).withColumn(
             "hybrid", hybrid_score(F.col("score"), F.col("model_score")))
 

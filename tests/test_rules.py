@@ -130,3 +130,10 @@ def test_bands_read_a_score_that_is_computed_once(spark):
     assert found.agg(F.sum("listings"), F.sum("suspects")).first() == scored.agg(F.count("*"), F.sum("suspect")).first()
     none = reports.band_counts(scored.withColumn("score", F.lit(-1.0)), rules.score_band(F.col("score")))
     assert none.count() == 0
+
+
+def test_one_seller_has_the_rows_of_the_whole_report(spark):
+    from listingscope.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert sorted(map(str, t.report(7).collect())) == sorted(map(str, t.report().where("seller_id = 7").collect()))
