@@ -73,6 +73,7 @@ def merged_listing(pages: DataFrame) -> DataFrame:
         F.coalesce(page_title(html), F.col("_ld.name"), blank).alias("title"),
         F.coalesce("url", blank).alias("link"),
         F.coalesce("_ev.price", "_ld.offers.price", blank).alias("price"),
+        F.col("_ev.price").alias("event_price"),
         F.coalesce("_ev.seller_name", blank).alias("seller_name"),
         F.coalesce("_ev.seller_id", blank).alias("seller_id"),
         F.coalesce("_ev.reputation_level", blank).alias("reputation_level"),

@@ -81,8 +81,7 @@ SELECT p_partkey AS page_id, concat('S', p_partkey) AS id, p_name AS title, conc
   CASE WHEN p_size % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE '' END AS seller_id, 4.5e0 AS rating, p_size AS n_reviews FROM part""")
 def embedded_pages(t: Tables):
     """Later events override earlier ones, events override JSON-LD, and the page's own title comes first."""
-    found = P.merged_listing(_page_of(t)).join(_page_of(t).select("page_id", P.event_payload(F.col("html"))["price"].alias("event_price")), "page_id")
-    return found.select("page_id", "id", "title", "link", "event_price", "seller_name", "seller_id", "rating", "n_reviews")
+    return P.merged_listing(_page_of(t)).select("page_id", "id", "title", "link", "event_price", "seller_name", "seller_id", "rating", "n_reviews")
 
 
 @query("page_specifications", """
