@@ -296,20 +296,24 @@ def review_page_summary(html: Column) -> Column:
 def _review_summary(nodes: Column) -> Column:
     average = E.first_text(nodes, E.of_class("ui-review-capability__rating__average")).try_cast("double")
     label = F.coalesce(E.first_text(nodes, E.of_class("ui-review-capability__rating__label")), F.lit(""))
-    box = E.first_part(nodes, E.with_attribute("data-testid", "summary-component", "div"))
-    summary = E.first_text(box, E.of_class("ui-review-capability__summary__plain_text__summary_container", "p"))
-    likes = E.first_text(E.first_part(box, LIKE_BUTTON), E.of_tag("p")).try_cast("int")
-    complete = summary.isNotNull() & likes.isNotNull()
+    found = E.let(E.first_part(nodes, E.with_attribute("data-testid", "summary-component", "div")), lambda box: F.struct(
+        E.first_text(box, E.of_class("ui-review-capability__summary__plain_text__summary_container", "p")).alias("summary"),
+        E.first_text(E.first_part(box, LIKE_BUTTON), E.of_tag("p")).try_cast("int").alias("likes")))
     rows = E.parts(nodes, lambda x: (x["tag"] == "tr") & E.class_holds("categories__mobile--row")(x))
     rated = F.transform(rows, lambda r: F.struct(
         E.first_text(r, E.of_tag("td")).alias("name"),
         F.regexp_extract(F.coalesce(E.first_text(r, HIDDEN_TEXT), F.lit("")), r"(\d+\.?\d*)", 1).try_cast("double").alias("value"),
     ))
-    return F.struct(
-        average.alias("average_rating"),
-        F.regexp_extract(label, r"(\d+)", 1).try_cast("int").alias("total_reviews"),
-        F.when(complete, summary).alias("summary"),
-        F.when(complete, likes).otherwise(0).alias("likes"),
-        complete.alias("available"),
-        E.let(F.filter(rated, lambda x: x["name"].isNotNull() & x["value"].isNotNull()), spec_map).alias("characteristics"),
-    )
+
+    def summed(box: Column) -> Column:
+        complete = box["summary"].isNotNull() & box["likes"].isNotNull()
+        return F.struct(
+            average.alias("average_rating"),
+            F.regexp_extract(label, r"(\d+)", 1).try_cast("int").alias("total_reviews"),
+            F.when(complete, box["summary"]).alias("summary"),
+            F.when(complete, box["likes"]).otherwise(0).alias("likes"),
+            complete.alias("available"),
+            E.let(F.filter(rated, lambda x: x["name"].isNotNull() & x["value"].isNotNull()), spec_map).alias("characteristics"),
+        )
+
+    return E.let(found, summed)
